@@ -66,6 +66,10 @@ def _ip_ok(x: Column) -> Column:
     return F.forall(F.split(x["value"], r"\."), lambda p: (F.length(part(p)) <= 3) & (F.coalesce(F.substring(part(p), 1, 3).try_cast("int"), F.lit(0)) <= 255))
 
 
+def _named(k: int, kind: str):
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+
+
 def base(own: DataFrame) -> DataFrame:
     """own(doc_id, text) with column spans: start, end, k (place in KINDS), kind, value; in order of start, then kind."""
     none = F.array().cast("array<string>")
@@ -81,7 +85,7 @@ def base(own: DataFrame) -> DataFrame:
         "card": F.filter(F.flatten(F.transform("_s_card", _cards)), _card_ok),
         "phone": F.filter("_s_phone", lambda x: F.length(_digits(x["value"])).between(9, 15)),
     }
-    named = [F.transform(found[k], lambda x, i=i, k=k: F.struct(x["start"].alias("start"), F.lit(i).alias("k"), x["end"].alias("end"), F.lit(k).alias("kind"), x["value"].alias("value"))) for i, k in enumerate(KINDS)]
+    named = [F.transform(found[kind], _named(k, kind)) for k, kind in enumerate(KINDS)]
     return df.select(*own.columns, F.array_sort(F.concat(*named)).alias("spans"))
 
 
