@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows in one Arrow batch; long texts make larger batches costly in worker memory.
-ARROW_ROWS = 500
+ARROW_ROWS = 128
 #: Most ids that are broadcast (8 bytes each, 16-32 MB as a hashed relation); beyond it the join shuffles.
 BROADCAST_IDS = 1_000_000
 
