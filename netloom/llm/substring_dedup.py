@@ -39,27 +39,58 @@ def tune(similarity: float = shingles.PERCENT / 100, recall: float = RECALL, coo
     return min(found)[2:]
 
 
-def lines(text: str) -> list[tuple[int, int, int, str]]:
-    """(line, start, end, text) of the paragraphs; offsets in code points."""
-    out, at = [], 0
-    for k, x in enumerate(text.split("\n")):
-        if len(x) >= 2 * MIN_WORDS - 1 and len(shingles.words(x)) >= MIN_WORDS:
-            out.append((k, at, at + len(x), x))
-        at += len(x) + 1
-    return out
+def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """line, start, end (code points) of the paragraphs of a whole text, their sorted distinct shingles end to end, and where each one's begin."""
+    data = shingles.encoded(text)
+    h, first = shingles.word_hashes(data)
+    none = np.empty(0, np.int64)
+    if len(h) < MIN_WORDS:
+        return none, none, none, np.empty(0, np.uint64), none
+    x = np.frombuffer(data, np.uint8)
+    breaks = np.flatnonzero(x == 10)
+    line = np.searchsorted(breaks, first)
+    n_words = np.bincount(line, minlength=len(breaks) + 1)
+    long = n_words >= MIN_WORDS
+    k = shingles.WIDTH
+    s = shingles.runs(h, k)
+    own = (line[: len(s)] == line[k - 1 :]) & long[line[: len(s)]]
+    s, at = s[own], line[: len(s)][own]
+    order = np.lexsort((s, at))
+    s, at = s[order], at[order]
+    new = np.ones(len(s), bool)
+    new[1:] = (s[1:] != s[:-1]) | (at[1:] != at[:-1])
+    s, at = s[new], at[new]
+    lines, begin = np.unique(at, return_index=True)
+    chars = np.concatenate([[0], np.cumsum((x & 0xC0) != 0x80)])
+    edges = np.concatenate([[-1], breaks, [len(x)]])
+    return lines, chars[edges[lines] + 1], chars[edges[lines + 1]], s, begin
 
 
 def _paragraphs(batches, bands, rows):
     a, b = shingles.coefficients(bands * rows)
     for batch in batches:
-        out = []
+        cols: list[list] = [[], [], [], [], [], []]
         for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            for k, start, end, x in lines(text):
-                s = shingles.shingles(x)
-                sig = shingles.signature(s, a, b).reshape(bands, rows)
-                out.append((i, k, start, end, xxhash.xxh3_128_digest(s.tobytes()), [xxhash.xxh3_64_intdigest(r.tobytes(), seed=n) - 2**63 for n, r in enumerate(sig)]))
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-        yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], names=["doc_id", "line", "start", "end", "key", "bands"])
+            line, start, end, s, begin = paragraphs(text)
+            if not len(line):
+                continue
+            with np.errstate(over="ignore"):
+                sig = np.concatenate([np.minimum.reduceat(s[lo:hi, None] * a + b, begin[j : j + 64] - lo, axis=0) for j, lo, hi in ((j, begin[j], begin[j + 64] if j + 64 < len(begin) else len(s)) for j in range(0, len(begin), 64))])
+                sig = (sig >> np.uint64(33)).reshape(len(line), bands, rows)
+                band = np.zeros((len(line), bands), np.uint64) + np.arange(bands, dtype=np.uint64)
+                for r in range(rows):
+                    band = (band ^ sig[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
+                    band ^= band >> np.uint64(32)
+            stop = np.append(begin[1:], len(s))
+            cols[0] += [i] * len(line)
+            for c, v in zip(cols[1:4], (line, start, end)):
+                c.append(v)
+            cols[4] += [xxhash.xxh3_128_digest(s[p:q].tobytes()) for p, q in zip(begin, stop)]
+            cols[5].append(band.view(np.int64).ravel())
+        flat = lambda c, t: np.concatenate(c).astype(t) if c else np.empty(0, t)
+        n = len(cols[0])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(flat(cols[5], np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(flat(cols[1], np.int32)), pa.array(flat(cols[2], np.int64)), pa.array(flat(cols[3], np.int64)), pa.array(cols[4], pa.binary()), lists], names=["doc_id", "line", "start", "end", "key", "bands"])
 
 
 def _sets(batches):
