@@ -19,15 +19,14 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         # large-star: every larger neighbour of a node is tied to the least of its neighbourhood
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = cut(large, "large")
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")), "large")
         # small-star: every smaller neighbour, and the node itself, is tied to the least
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
         small = cut(small, "small")
         # done when every node hangs on one root, and no root hangs on anything
-        roots = small.select(F.col("v").alias("u")).distinct()
-        done = small.join(roots, "u", "left_semi").isEmpty() and small.groupBy("u").count().where("count > 1").isEmpty()
+        roots = small.select(F.col("v").alias("u"), F.lit(2).alias("n")).distinct()
+        done = small.select("u", F.lit(2).alias("n")).union(roots).groupBy("u").agg(F.sum("n").alias("n")).where("n > 2").isEmpty()
         forget(edges, large)
         edges = small
         if done:

@@ -6,10 +6,12 @@ list checked:
 
 1. each item against the pivot of its lists (the most central item) that it collides with most;
 2. items not connected to their pivot: against their lists' other pivots and against FAN members of the pivot's component;
-3. what is still apart: every remaining pair of a list whose items are in different components.
+3. what is still apart: an exact set-similarity join of these items with all members of their lists, on the full sets. Elements are in
+   order of rising frequency; a pair is made where two prefixes share an element, the sizes allow the similarity, and the elements
+   that remain from there on could still reach the overlap (prefix, length and positional filters, which lose no similar pair).
 
-Rounds 1 and 2 make a number of pairs linear in the postings, also for a list that holds a third of all items. Round 3 makes
-(items still apart) x (list) pairs: none is left out, and there are few unless items really collide without being similar.
+Rounds 1 and 2 make a number of pairs linear in the postings, also for a list that holds a third of all items. In round 3 items that share a
+common passage, but are not similar, differ in their rare elements, which stand first, and so make no pairs.
 """
 
 from __future__ import annotations
@@ -33,8 +35,7 @@ BROADCAST_PAIRS = 500_000
 
 def _similar(batches, percent):
     for b in batches:
-        x, y = b["set_a"].to_pylist(), b["set_b"].to_pylist()
-        ok = [shingles.similar(np.frombuffer(i, np.uint64), np.frombuffer(j, np.uint64), percent) for i, j in zip(x, y)]
+        ok = [shingles.similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), percent) for x, y in zip(b["set_a"], b["set_b"])]
         yield pa.RecordBatch.from_pydict({"a": b["a"], "b": b["b"]}).filter(pa.array(ok, pa.bool_()))
 
 
@@ -59,6 +60,39 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent:
     return out
 
 
+def _elements(batches):
+    for b in batches:
+        ids, n, e = [], [], []
+        for i, x in zip(b["id"].to_pylist(), b["set"]):
+            v = np.frombuffer(x.as_buffer(), np.int64)
+            ids.append(np.full(len(v), i, np.int64))
+            n.append(np.full(len(v), len(v), np.int64))
+            e.append(v)
+        join = lambda c: pa.array(np.concatenate(c) if c else np.empty(0, np.int64))
+        yield pa.RecordBatch.from_pydict({"id": join(ids), "n": join(n), "e": join(e)})
+
+
+def _full_join(apart: DataFrame, members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(a, b) with b in apart(b, c_b) and a in members(id, c), of different components, that the three filters do not rule out."""
+    ids = cut(members.select("id").distinct(), "ids")
+    elements = cut(arrow_map(sets(ids), _elements, "id long, n long, e long"), "elements")
+    often = elements.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
+    mine = elements.join(often, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("x"))
+    once = F.col("n") - F.size("x")  # elements that no other member has stand first
+    size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - once
+    post = mine.where(size > 0).select("id", "n", once.alias("once"), F.posexplode(F.slice("x", F.lit(1), size.cast("int"))).alias("k", "x")).select("id", "n", F.col("x.e").alias("e"), (F.col("n") - F.col("once") - F.col("k")).alias("rest"))
+    post = cut(post.join(members, "id"), "prefixes")
+    one = post.select("e", F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("rest").alias("rest_a"), F.col("c").alias("c_a"))
+    two = post.join(apart.select(F.col("b").alias("id")), "id", "left_semi").select("e", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("rest").alias("rest_b"), F.col("c").alias("c_b"))
+    fits = (
+        (one["e"] == two["e"]) & (F.col("c_a") != F.col("c_b")) & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
+        & ((100 + percent) * F.least("rest_a", "rest_b") >= percent * (F.col("n_a") + F.col("n_b")))
+    )
+    out = cut(one.join(two, fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+    forget(ids, elements, post)
+    return out
+
+
 def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[DataFrame], DataFrame], percent: int = shingles.PERCENT, fan: int = FAN) -> DataFrame:
     """(id, component) of every item with a link. posts: (token, id, weight), a table; sigs: (id, sig), a table, or none."""
     lists = posts.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).where("size > 1")
@@ -79,13 +113,13 @@ def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[D
         tokens = apart.select("token").distinct()
         open_ = cut(state.join(tokens, "token", "left_semi"), "open")
         if last:
-            pairs = apart.join(open_.select("token", F.col("id").alias("a"), F.col("c").alias("c_a")), "token").where("c_a <> c_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+            pairs = cut(_full_join(apart.select("b", "c_b").distinct(), open_.select("id", "c").distinct(), sets, percent), "pairs")
         else:
             members = open_.where("c = main and id <> pivot").select("token", F.col("id").alias("a"), F.xxhash64("token", "id").alias("h"))
             pairs = apart.join(_few(members, fan), "token").select("a", "b").union(
                 first.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
             )
-        pairs = cut(collisions(pairs, sigs, least).select("a", "b"), "pairs")
+            pairs = cut(collisions(pairs, sigs, least).select("a", "b"), "pairs")
         links = cut(links.union(verified(pairs, sets, percent)), "all-links")
         comp = cut(components(links), "components")
         forget(apart, open_, pairs)
