@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.options import Climb, one_of
+from ..sources.scratch import settle
 from . import clustering, linalg
 
 
@@ -39,7 +40,7 @@ def _whiten(gram: np.ndarray) -> np.ndarray:
 def canoncov(rows: DataFrame, k: int, kind: str = "weighted", resid: bool = True, corr: bool = False, **options):
     """(A p x k, B q x k, scores (i, u, v), R of length k): singular vectors (weighted) or co-clusters (binary) of the cross product of x and y."""
     one_of("kind", kind, ("weighted", "binary"))
-    rows = _centred(rows, resid).select("i", "x", "y").checkpoint()
+    rows = settle(_centred(rows, resid).select("i", "x", "y"))
     first = rows.agg(F.max(F.size("x")).alias("p"), F.max(F.size("y")).alias("q")).first()
     p, q = first.p, first.q
     if not 1 <= k <= min(p, q):

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import vectors as v
 from ..plans.options import OBJECTIVES, SIMILARITIES, Climb, one_of
 from ..sources.frames import LOCAL_CELLS, Network, dense_vectors, partition_frame
+from ..sources.scratch import settle
 from . import linalg, moments
 
 log = logging.getLogger(__name__)
@@ -366,7 +367,7 @@ def distributed(rows: DataFrame, k: int, objective: str = "kmeans", similarity:
     Seeds are k rows by hash order, nodes start at the most similar one. Batches are hash classes, so a rerun gives the same result.
     """
     one_of("objective", objective, ("kmeans", "kmodularity"))
-    u = (moments.residual_rows(rows) if objective == "kmodularity" else rows).select("i", v.similar(F.col("x"), similarity).alias("u")).withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(numbatches))).checkpoint()
+    u = settle((moments.residual_rows(rows) if objective == "kmodularity" else rows).select("i", v.similar(F.col("x"), similarity).alias("u")).withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(numbatches))))
     seeds = np.array([r.u for r in u.orderBy(F.xxhash64(F.lit(seed), F.lit("s"), "i"), "i").limit(k).collect()])
 
     def assign(batches, c):
@@ -402,14 +403,14 @@ def distributed(rows: DataFrame, k: int, objective: str = "kmeans", similarity:
         n[got.m] = got.n
         return s, n
 
-    p = u.mapInArrow(partial(assign, c=seeds), "i long, m int").checkpoint()
+    p = settle(u.mapInArrow(partial(assign, c=seeds), "i long, m int"))
     s, n = totals(p)
     value = lambda s, n: float(((s * s).sum(1) / np.maximum(n, 1)).sum())
     best = (value(s, n), p)
     for _ in range(sweeps):
         before = best[0]
         for at in range(numbatches):
-            p = u.join(p, "i").mapInArrow(partial(move, at=at, s=s, n=n), "i long, m int").checkpoint()
+            p = settle(u.join(p, "i").mapInArrow(partial(move, at=at, s=s, n=n), "i long, m int"))
             s, n = totals(p)
             if (q := value(s, n)) > best[0] and n.all():
                 best = (q, p)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.frames import LOCAL_CELLS, Network
+from ..sources.scratch import settle
 
 
 def signed(u: np.ndarray) -> np.ndarray:
@@ -26,7 +27,7 @@ def leading(net: Network, rounds: int = 100, tolerance: float = 1e-12) -> tuple[
         u1 = signed(u[:, :1])[:, 0]
         v1 = vt[0] * np.sign(u1 @ u[:, 0])
         return spark.createDataFrame([(int(a), float(b)) for a, b in zip(ri, u1)], "i long, u double"), spark.createDataFrame([(int(a), float(b)) for a, b in zip(ci, v1)], "j long, v double"), float(s[0])
-    v = net.cols.withColumn("v", 1 + F.pmod(F.xxhash64("j"), F.lit(1000)) / 1000.0).checkpoint()
+    v = settle(net.cols.withColumn("v", 1 + F.pmod(F.xxhash64("j"), F.lit(1000)) / 1000.0))
     last = 0.0
     for _ in range(rounds):
         u = net.edges.join(v, "j").groupBy("i").agg(F.sum(F.col("w") * F.col("v")).alias("u"))
@@ -34,7 +35,7 @@ def leading(net: Network, rounds: int = 100, tolerance: float = 1e-12) -> tuple[
         u = u.select("i", (F.col("u") / norm).alias("u"))
         v = net.edges.join(u, "i").groupBy("j").agg(F.sum(F.col("w") * F.col("u")).alias("v"))
         s = v.agg(F.sqrt(F.sum(F.col("v") ** 2))).first()[0] or 0.0
-        v = v.select("j", (F.col("v") / (s or 1.0)).alias("v")).checkpoint()
+        v = settle(v.select("j", (F.col("v") / (s or 1.0)).alias("v")))
         if abs(s - last) <= tolerance * max(1.0, s):
             break
         last = s
