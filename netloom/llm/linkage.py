@@ -28,7 +28,7 @@ from . import shingles
 from .common import arrow_map, cut, forget, sized
 from .components import components
 
-FAN = 16
+FAN = 4
 #: Most candidate pairs that are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_PAIRS = 500_000
 
@@ -115,7 +115,7 @@ def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[D
         if last:
             pairs = cut(_full_join(apart.select("b", "c_b").distinct(), open_.select("id", "c").distinct(), sets, percent), "pairs")
         else:
-            members = open_.where("c = main and id <> pivot").select("token", F.col("id").alias("a"), F.xxhash64("token", "id").alias("h"))
+            members = open_.where("c = main and id <> pivot").select("token", F.col("id").alias("a"), F.xxhash64("id").alias("h"))
             pairs = apart.join(_few(members, fan), "token").select("a", "b").union(
                 first.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
             )
