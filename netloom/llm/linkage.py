@@ -28,7 +28,7 @@ from . import shingles
 from .common import arrow_map, cut, forget, sized
 from .components import components
 
-FAN = 4
+FAN = 16
 #: Most candidate pairs that are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_PAIRS = 500_000
 
