@@ -5,7 +5,8 @@ connected needs no check. Three rounds, each checking pairs across components on
 list checked:
 
 1. each item against the pivot of its lists (the most central item) that it collides with most;
-2. items not connected to their pivot: against their lists' other pivots and against FAN members of the pivot's component;
+2. items not connected to their pivot: against their lists' other pivots, and for each component that pivots of their lists are in, against FAN
+   members of it, from the shortest such list (the one whose members share the rarest token with the item);
 3. what is still apart: an exact set-similarity join of these items with all members of their lists, on the full sets. Elements are in
    order of rising frequency; a pair is made where two prefixes share an element, the sizes allow the similarity, and the elements
    that remain from there on could still reach the overlap (prefix, length and positional filters, which lose no similar pair).
@@ -96,8 +97,8 @@ def _full_join(apart: DataFrame, members: DataFrame, sets: Callable[[DataFrame],
 def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[DataFrame], DataFrame], percent: int = shingles.PERCENT, fan: int = FAN) -> DataFrame:
     """(id, component) of every item with a link. posts: (token, id, weight), a table; sigs: (id, sig), a table, or none."""
     lists = posts.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).where("size > 1")
-    lists = cut(lists.select("token", (-F.col("top.back")).alias("pivot")), "lists")
-    posts = cut(posts.join(lists, "token").select("token", "id", "pivot"), "posts")
+    lists = cut(lists.select("token", "size", (-F.col("top.back")).alias("pivot")), "lists")
+    posts = cut(posts.join(lists, "token").select("token", "size", "id", "pivot"), "posts")
     first = posts.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b"))
     first = cut(collisions(first, sigs, least), "collisions")
     best = cut(first.groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("back"))).alias("top")).select((-F.col("top.back")).alias("a"), "b"), "best")
@@ -105,8 +106,8 @@ def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[D
     comp = cut(components(links), "components")
     for last in (False, True):
         of = lambda name: comp.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))  # noqa: B023, E731
-        state = posts.join(of("id"), "id", "left").join(of("pivot"), "pivot", "left").select("token", "id", "pivot", F.coalesce("c_id", "id").alias("c"), F.coalesce("c_pivot", "pivot").alias("main"))
-        apart = cut(state.where("c <> main").select("token", F.col("id").alias("b"), F.col("c").alias("c_b")), "apart")
+        state = posts.join(of("id"), "id", "left").join(of("pivot"), "pivot", "left").select("token", "size", "id", "pivot", F.coalesce("c_id", "id").alias("c"), F.coalesce("c_pivot", "pivot").alias("main"))
+        apart = cut(state.where("c <> main").select("token", "size", "main", F.col("id").alias("b"), F.col("c").alias("c_b")), "apart")
         if apart.isEmpty():
             forget(apart)
             break
@@ -116,7 +117,8 @@ def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[D
             pairs = cut(_full_join(apart.select("b", "c_b").distinct(), open_.select("id", "c").distinct(), sets, percent), "pairs")
         else:
             members = open_.where("c = main and id <> pivot").select("token", F.col("id").alias("a"), F.xxhash64("id").alias("h"))
-            pairs = apart.join(_few(members, fan), "token").select("a", "b").union(
+            short = apart.groupBy("b", "main").agg(F.min(F.struct("size", "token")).alias("s")).select("b", F.col("s.token").alias("token"))
+            pairs = short.join(_few(members, fan), "token").select("a", "b").union(
                 first.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
             )
             pairs = cut(collisions(pairs, sigs, least).select("a", "b"), "pairs")
