@@ -47,9 +47,14 @@ def forget(*frames: DataFrame) -> None:
     for df in frames:
         spark = df.sparkSession
         for at in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(at)
-            if path.getName().startswith("netloom-"):
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            delete(spark, at)
+
+
+def delete(spark: SparkSession, at: str) -> None:
+    """Delete a folder that scratch() named, and no other."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    if path.getName().startswith("netloom-"):
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget, scratch, texts, without
+from .common import cut, delete, forget, scratch, texts, without
 
 #: Files that one micro-batch takes, so that a batch stays bounded whatever the corpus.
 FILES_PER_BATCH = 1024
@@ -32,8 +32,8 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")
 
 
-def _state(rows: DataFrame, files_per_batch: int) -> DataFrame:
-    """(digest, keep_id, n, locator) from a stream over rows(doc_id, digest, locator), a table made by cut()."""
+def _groups(rows: DataFrame, files_per_batch: int) -> DataFrame:
+    """(digest, keep_id, n, locator), a table, from the state of a stream over rows(doc_id, digest, locator), made by cut()."""
     spark = rows.sparkSession
     at = scratch(spark, "state")
     path = rows.inputFiles()[0].rsplit("/", 1)[0]
@@ -50,16 +50,23 @@ def _state(rows: DataFrame, files_per_batch: int) -> DataFrame:
         spark.conf.set(provider, before) if before else spark.conf.unset(provider)
     state = spark.read.format("statestore").load(at)
     first = state.schema["value"].dataType.names
-    return state.select(F.col("key.digest").alias("digest"), F.col(f"value.{first[0]}.doc_id").alias("keep_id"), F.col(f"value.{first[0]}.locator").alias("locator"), F.col(f"value.{first[1]}").alias("n"))
+    groups = cut(state.select(F.col("key.digest").alias("digest"), F.col(f"value.{first[0]}.doc_id").alias("keep_id"), F.col(f"value.{first[0]}.locator").alias("locator"), F.col(f"value.{first[1]}").alias("n")), "groups")
+    delete(spark, at)
+    return groups
 
 
 def decide(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame:
     """One row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256, locator (of the row that stays)."""
+    return _decide(docs, files_per_batch)[0]
+
+
+def _decide(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> tuple[DataFrame, list[DataFrame]]:
+    """What decide() returns, and the tables that it reads."""
     spark = docs.sparkSession
     rows = texts(docs).select("doc_id", normalised(F.col("text")).alias("norm"), F.struct(F.input_file_name().alias("file"), F.input_file_block_start().alias("offset")).alias("locator"))
     rows = rows.withColumn("digest", F.unhex(F.sha2(F.col("norm").cast("binary"), 256)))
     staged = cut(rows.select("doc_id", "digest", "locator"), "digests")
-    state = cut(_state(staged, files_per_batch), "groups") if staged.inputFiles() and not staged.isEmpty() else spark.createDataFrame([], "digest binary, keep_id long, locator struct<file:string,offset:long>, n long")
+    state = _groups(staged, files_per_batch) if staged.inputFiles() and not staged.isEmpty() else spark.createDataFrame([], "digest binary, keep_id long, locator struct<file:string,offset:long>, n long")
     differ = cut(
         rows.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("most"), F.count("*").alias("n"))
         .where("n > 1 and least <> most").select("digest"),
@@ -71,16 +78,19 @@ def decide(docs: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> DataFrame
     )
     if differ.isEmpty():
         forget(differ)
-        return out.drop("digest")
+        return out.drop("digest"), [staged, state]
     # Collided digests: their rows group by the bytes.
     whole = rows.join(differ, "digest", "left_semi")
     group = whole.groupBy("digest", "norm").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "locator")).alias("first"), F.count("*").alias("group_size"))
     split = whole.select("doc_id", "digest", "norm").join(group, ["digest", "norm"]).select(
         "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", F.coalesce(F.col("doc_id") == F.col("first.doc_id"), F.col("first.doc_id").isNull()).alias("kept"), hex_, F.col("first.locator").alias("locator")
     )
-    return out.join(differ, "digest", "left_anti").drop("digest").unionByName(split)
+    return out.join(differ, "digest", "left_anti").drop("digest").unionByName(split), [staged, state, differ]
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """docs without the copies; each text's row with the smallest doc_id stays."""
-    return without(docs, cut(decide(docs).where("not kept and doc_id is not null").select("doc_id").distinct(), "copies"))
+    rows, used = _decide(docs)
+    copies = cut(rows.where("not kept and doc_id is not null").select("doc_id").distinct(), "copies")
+    forget(*used)
+    return without(docs, copies)

@@ -103,7 +103,7 @@ def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[D
     first = cut(collisions(first, sigs, least), "collisions")
     best = cut(first.groupBy("b").agg(F.max(F.struct("matches", (-F.col("a")).alias("back"))).alias("top")).select((-F.col("top.back")).alias("a"), "b"), "best")
     links = verified(best, sets, percent)
-    comp = cut(components(links), "components")
+    comp = _settled(links)
     for last in (False, True):
         of = lambda name: comp.select(F.col("id").alias(name), F.col("component").alias(f"c_{name}"))  # noqa: B023, E731
         state = posts.join(of("id"), "id", "left").join(of("pivot"), "pivot", "left").select("token", "size", "id", "pivot", F.coalesce("c_id", "id").alias("c"), F.coalesce("c_pivot", "pivot").alias("main"))
@@ -122,10 +122,19 @@ def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[D
                 first.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
             )
             pairs = cut(collisions(pairs, sigs, least).select("a", "b"), "pairs")
-        links = cut(links.union(verified(pairs, sets, percent)), "all-links")
-        comp = cut(components(links), "components")
-        forget(apart, open_, pairs)
-    forget(lists, posts, first, best)
+        found, old, before = verified(pairs, sets, percent), links, comp
+        links = cut(old.union(found), "all-links")
+        comp = _settled(links)
+        forget(apart, open_, pairs, found, old, before)
+    forget(lists, posts, first, best, links)
+    return comp
+
+
+def _settled(links: DataFrame) -> DataFrame:
+    """components() as a table of its own."""
+    steps = components(links)
+    comp = cut(steps, "components")
+    forget(steps)
     return comp
 
 

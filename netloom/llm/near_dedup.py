@@ -57,6 +57,11 @@ def posts(classes: DataFrame, least: int = MATCHES) -> DataFrame:
 
 def decide(docs: DataFrame) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept."""
+    return _decide(docs)[0]
+
+
+def _decide(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """What decide() returns, and the tables that it reads."""
     own = texts(docs)
     rows = cut(arrow_map(own, _signatures, "doc_id long, n_shingles long, key binary, sig array<int>"), "signatures")
     classes = cut(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
@@ -69,9 +74,12 @@ def decide(docs: DataFrame) -> DataFrame:
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
     out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
     forget(posted)
-    return out
+    return out, [rows, classes, comp]
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest id."""
-    return without(docs, cut(decide(docs).where("not kept").select("doc_id").distinct(), "near-copies"))
+    rows, used = _decide(docs)
+    copies = cut(rows.where("not kept").select("doc_id").distinct(), "near-copies")
+    forget(*used)
+    return without(docs, copies)
