@@ -5,12 +5,19 @@ tune() picks the bands: of all (bands, rows) within COORDINATES the one with the
 threshold similarity is at least RECALL. Classes that share a band collide; exact Jaccard on the full sets confirms; linkage.py
 finds the components without writing out a band's pairs. In each component the first paragraph (smallest doc_id, then line) stays, the others are removals.
 
+Passages stand anywhere: inside a longer line, or wrapped over several lines. Line breaks count as blanks here. Of every UNIT adjacent 5-word
+shingles of a text the one with the least hash is an anchor, and the UNIT words from there are a unit. Two texts that share PASSAGE = 2 * UNIT words have an
+anchor in common there, and adjacent units leave no gap, so every verbatim run of PASSAGE words is found, whatever is around it. Of equal units
+the first stays. The others, less what removed lines cover, are joined to runs; a run of at least MIN_WORDS words is a removal with no component.
+A passage that is not verbatim is found by its verbatim runs, or as a line. Runs with different kept documents may overlap.
+
 Defined results: null and empty texts have no paragraphs; rows with a null id take no part; repeated rows are further occurrences of their
 paragraphs; ties go to the smallest (doc_id, line, start); an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from functools import partial
 
 import numpy as np
@@ -24,6 +31,10 @@ from .common import arrow_map, cut, forget, sized, texts
 from .linkage import link
 
 MIN_WORDS, COORDINATES, RECALL = 20, 64, 0.995
+UNIT = 25
+PASSAGE = 2 * UNIT
+#: Low bits of a shingle's hash that hold its place while anchors are chosen.
+PLACE = np.uint64(30)
 #: Most documents with candidates whose ids and lines are broadcast; beyond it the join shuffles.
 BROADCAST_DOCS = 200_000
 
@@ -39,13 +50,13 @@ def tune(similarity: float = shingles.PERCENT / 100, recall: float = RECALL, coo
     return min(found)[2:]
 
 
-def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """line, start, end (code points) of the paragraphs of a whole text, their sorted distinct shingles end to end, and where each one's begin."""
+def paragraphs(text: str) -> tuple[np.ndarray, ...]:
+    """line, start, end (code points), first word, word after the last of the paragraphs of a whole text, their sorted distinct shingles end to end, and where each one's begin."""
     data = shingles.encoded(text)
     h, first = shingles.word_hashes(data)
     none = np.empty(0, np.int64)
     if len(h) < MIN_WORDS:
-        return none, none, none, np.empty(0, np.uint64), none
+        return none, none, none, none, none, np.empty(0, np.uint64), none
     x = np.frombuffer(data, np.uint8)
     breaks = np.flatnonzero(x == 10)
     line = np.searchsorted(breaks, first)
@@ -63,15 +74,94 @@ def paragraphs(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     lines, begin = np.unique(at, return_index=True)
     chars = np.concatenate([[0], np.cumsum((x & 0xC0) != 0x80)])
     edges = np.concatenate([[-1], breaks, [len(x)]])
-    return lines, chars[edges[lines] + 1], chars[edges[lines + 1]], s, begin
+    before = np.concatenate([[0], np.cumsum(n_words)])
+    return lines, chars[edges[lines] + 1], chars[edges[lines + 1]], before[lines], before[lines + 1], s, begin
+
+
+def units(text: str) -> tuple[np.ndarray, ...]:
+    """line, start, end (code points), first word, word after the last, and hash of the units of a whole text; equal ones do not overlap."""
+    data = shingles.encoded(text)
+    h, first = shingles.word_hashes(data)
+    k = shingles.WIDTH
+    none = np.empty(0, np.int64)
+    if len(h) < UNIT + k - 1:
+        return none, none, none, none, none, none
+    s = shingles.runs(h, k)
+    least = (s >> PLACE << PLACE) | np.arange(len(s), dtype=np.uint64)
+    width = 1
+    while width < UNIT:  # the least of `width` adjacent ones, doubled up to UNIT
+        step = min(width, UNIT - width)
+        least, width = np.minimum(least[:-step], least[step:]), width + step
+    at = np.unique(least & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
+    at = at[at + UNIT <= len(h)]
+    key = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(0, UNIT, k):
+            key = (key ^ s[at + j]) * np.uint64(0x9E3779B97F4A7C15)
+            key ^= key >> np.uint64(32)
+    if len(np.unique(key)) < len(key):
+        free: dict[int, int] = {}
+        keep = np.zeros(len(at), bool)
+        for n, (q, p) in enumerate(zip(key.tolist(), at.tolist())):
+            if p >= free.get(q, 0):
+                keep[n], free[q] = True, p + UNIT
+        at, key = at[keep], key[keep]
+    x = np.frombuffer(data, np.uint8)
+    chars = np.concatenate([[0], np.cumsum((x & 0xC0) != 0x80)])
+    blanks = np.append(np.flatnonzero(shingles._BLANK[x]), len(x))
+    stop = blanks[np.searchsorted(blanks, first[at + UNIT - 1])]
+    return np.searchsorted(np.flatnonzero(x == 10), first[at]), chars[first[at]], chars[stop], at, at + UNIT, key.view(np.int64)
+
+
+def _units(batches):
+    for batch in batches:
+        ids, cols = [], [[], [], [], [], [], []]
+        for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
+            found = units(text)
+            ids.append(np.full(len(found[0]), i, np.int64))
+            for c, v in zip(cols, found):
+                c.append(v)
+        flat = lambda c, t: pa.array(np.concatenate(c).astype(t) if c else np.empty(0, t))
+        yield pa.RecordBatch.from_arrays([flat(ids, np.int64), flat(cols[0], np.int32), *(flat(c, np.int64) for c in cols[1:])], names=["doc_id", "line", "start", "end", "word", "stop", "unit"])
+
+
+def runs(found: list[dict], lines: list[dict]) -> list[dict]:
+    """The runs of one document's repeated units, less its removed lines, of at least MIN_WORDS words."""
+    lines = sorted({(x["word"], x["stop"], x["start"], x["end"], x["line"]) for x in lines})
+    starts = [x[0] for x in lines]
+    out: list[dict] = []
+    for u in sorted(found, key=lambda x: (x["keep_doc_id"], x["word"], x["keep_line"])):
+        pieces = [u]
+        for word, stop, start, end, line in lines[max(0, bisect_right(starts, u["word"]) - 1) :]:
+            own = pieces[-1]
+            if word >= own["stop"]:
+                break
+            if stop > own["word"]:  # what stands before the line, and what stands after it
+                pieces[-1:] = [own | {"stop": word, "end": start - 1}] * (word > own["word"]) + [own | {"word": stop, "start": end + 1, "line": line + 1}] * (stop < own["stop"])
+                if stop >= own["stop"]:
+                    break
+        for p in pieces:
+            if out and out[-1]["keep_doc_id"] == p["keep_doc_id"] and p["word"] <= out[-1]["stop"]:
+                if p["stop"] > out[-1]["stop"]:
+                    out[-1] |= {"stop": p["stop"], "end": p["end"]}
+            else:
+                out.append(dict(p))
+    return [x for x in out if x["stop"] - x["word"] >= MIN_WORDS]
+
+
+def _runs(batches):
+    for b in batches:
+        rows = [(i, x["line"], x["start"], x["end"], x["keep_doc_id"], x["keep_line"], None) for i, u, v in zip(b["doc_id"].to_pylist(), b["units"].to_pylist(), b["lines"].to_pylist()) for x in runs(u, v or [])]
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "line", "start", "end", "keep_doc_id", "keep_line", "component"])
 
 
 def _paragraphs(batches, bands, rows):
     a, b = shingles.coefficients(bands * rows)
     for batch in batches:
-        cols: list[list] = [[], [], [], [], [], []]
+        cols: list[list] = [[], [], [], [], [], [], [], []]
         for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-            line, start, end, s, begin = paragraphs(text)
+            line, start, end, word, stop_word, s, begin = paragraphs(text)
             if not len(line):
                 continue
             with np.errstate(over="ignore"):
@@ -83,14 +173,14 @@ def _paragraphs(batches, bands, rows):
                     band ^= band >> np.uint64(32)
             stop = np.append(begin[1:], len(s))
             cols[0] += [i] * len(line)
-            for c, v in zip(cols[1:4], (line, start, end)):
+            for c, v in zip(cols[1:6], (line, start, end, word, stop_word)):
                 c.append(v)
-            cols[4] += [xxhash.xxh3_128_digest(s[p:q].tobytes()) for p, q in zip(begin, stop)]
-            cols[5].append(band.view(np.int64).ravel())
+            cols[6] += [xxhash.xxh3_128_digest(s[p:q].tobytes()) for p, q in zip(begin, stop)]
+            cols[7].append(band.view(np.int64).ravel())
         flat = lambda c, t: np.concatenate(c).astype(t) if c else np.empty(0, t)
         n = len(cols[0])
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(flat(cols[5], np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(flat(cols[1], np.int32)), pa.array(flat(cols[2], np.int64)), pa.array(flat(cols[3], np.int64)), pa.array(cols[4], pa.binary()), lists], names=["doc_id", "line", "start", "end", "key", "bands"])
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * bands), pa.array(flat(cols[7], np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(flat(cols[1], np.int32)), pa.array(flat(cols[2], np.int64)), *(pa.array(flat(c, np.int64)) for c in cols[3:6]), pa.array(cols[6], pa.binary()), lists], names=["doc_id", "line", "start", "end", "word", "stop", "key", "bands"])
 
 
 def _sets(batches):
@@ -108,7 +198,7 @@ def removals(docs: DataFrame) -> DataFrame:
     """(doc_id, line, start, end, keep_doc_id, keep_line, component) of every paragraph to remove, and the one that stays for it."""
     bands, rows = tune()
     own = texts(docs).where("doc_id is not null")
-    found = cut(arrow_map(own, partial(_paragraphs, bands=bands, rows=rows), "doc_id long, line int, start long, end long, key binary, bands array<long>"), "paragraphs")
+    found = cut(arrow_map(own, partial(_paragraphs, bands=bands, rows=rows), "doc_id long, line int, start long, end long, word long, stop long, key binary, bands array<long>"), "paragraphs")
     classes = found.groupBy("key").agg(F.min(F.struct("doc_id", "line", "start")).alias("first"), F.first("bands").alias("bands"))
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "key", "first", "bands"), "classes")
     tokens = classes.select("id", F.explode("bands").alias("token"))
@@ -125,5 +215,19 @@ def removals(docs: DataFrame) -> DataFrame:
     of = cut(of, "class-components")
     best = of.groupBy("component").agg(F.min("first").alias("keep"))
     of = of.join(best, "component").select("key", "component", "keep")
-    out = found.select("doc_id", "line", "start", "end", "key").join(of, "key").where(F.struct("doc_id", "line", "start") != F.col("keep"))
-    return out.select("doc_id", "line", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), "component")
+    out = found.select("doc_id", "line", "start", "end", "word", "stop", "key").join(of, "key").where(F.struct("doc_id", "line", "start") != F.col("keep"))
+    lines = cut(out.select("doc_id", "line", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"), F.col("keep.line").alias("keep_line"), "component", "word", "stop"), "lines")
+    return lines.drop("word", "stop").unionByName(passages(own, lines))
+
+
+def passages(own: DataFrame, lines: DataFrame) -> DataFrame:
+    """The removals of runs of units, beside those of lines(doc_id, line, start, end, word, stop), a table."""
+    every = cut(arrow_map(own, _units, "doc_id long, line int, start long, end long, word long, stop long, unit long"), "units")
+    often = every.groupBy("unit").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("unit", "first")
+    again = cut(every.join(often, "unit"), "repeated")
+    forget(every)
+    kept = again.where("doc_id = first").groupBy("unit").agg(F.min(F.struct("word", "line")).alias("keep"))
+    later = again.join(kept, "unit").where("doc_id <> first or word <> keep.word").select("doc_id", F.struct("line", "start", "end", "word", "stop", F.col("first").alias("keep_doc_id"), F.col("keep.line").alias("keep_line")).alias("u"))
+    by_doc = later.groupBy("doc_id").agg(F.collect_list("u").alias("units"))
+    taken = lines.groupBy("doc_id").agg(F.collect_list(F.struct("line", "start", "end", "word", "stop")).alias("lines"))
+    return arrow_map(by_doc.join(taken, "doc_id", "left"), _runs, "doc_id long, line int, start long, end long, keep_doc_id long, keep_line int, component long").distinct()

@@ -116,6 +116,26 @@ def test_substring_dedup_finds_planted_passages(spark):
     assert 1 - (1 - 0.75**rows) ** bands >= substring_dedup.RECALL
 
 
+def test_substring_dedup_finds_passages_inside_and_across_lines(spark):
+    r = np.random.default_rng(6)
+    own = lambda n: [f"u{x}" for x in r.integers(0, 10**9, n)]
+    for n in (50, 80):
+        passage = own(n)
+        wrapped = [passage[i : i + 9] for i in range(0, n, 9)]
+        texts = [" ".join(own(300) + passage + own(300)), " ".join(own(400) + passage + own(90)), " ".join(own(12)) + "\n" + "\n".join(map(" ".join, wrapped)) + "\n" + " ".join(own(12)), " ".join(own(600))]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = substring_dedup.removals(docs).collect()
+        assert {(g.doc_id, g.keep_doc_id) for g in got} == {(1, 0), (2, 0)}
+        for g in got:
+            w = texts[g.doc_id][g.start : g.end].split()
+            assert len(w) >= substring_dedup.UNIT and " ".join(w) in " ".join(passage)
+    # repeats inside one text stay once, also where they touch
+    period = own(7)
+    docs = spark.createDataFrame([(1, " ".join(period * 40))], "doc_id long, text string")
+    got = substring_dedup.removals(docs).collect()
+    assert got and all(g.start > 0 and g.doc_id == g.keep_doc_id for g in got)
+
+
 def test_wand_returns_all_above_threshold():
     r = np.random.default_rng(2)
     items = [(i, " ".join(f"t{x}" for x in r.zipf(1.5, r.integers(5, 30)) % 200)) for i in range(150)]
