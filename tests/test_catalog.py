@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from netloom import catalog
+from netloom.operators import neighbors
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
@@ -31,3 +32,12 @@ def test_matches_sql(spark, db, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(catalog.oracle_sql())))
 def test_runs(spark, name):
     assert not catalog.queries()[name](spark, SF).isEmpty()
+
+
+@pytest.mark.parametrize("size", ("sf0.01", "sf0.1"))
+def test_indirect_neighbours_have_recall(spark, size):
+    rows = catalog.emb(spark, f"/root/testdata/{size}")
+    exact = {(r.i, r.j) for r in neighbors.nearest_rows(rows, 10, "cosim").collect()}
+    found = {(r.i, r.j) for r in neighbors.approximate_rows(rows, 10).select("i", "j").collect()}
+    print(size, len(found & exact) / len(exact))
+    assert len(found & exact) >= 0.9 * len(exact)
