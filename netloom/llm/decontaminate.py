@@ -9,6 +9,10 @@ threshold; in blocks that pass, items are visited in order by WAND pivots, skipp
 reach the threshold, and scored. All items at or above the threshold are returned; none is cut off. A found item
 is verified: at least OVERLAP of the 5-word shingles of its question (the first three quarters) and of its answer (the rest) stand near the passage.
 
+An item longer than a passage is indexed as pieces of PIECE words at most, each searched and verified (as a whole) as an item of its own, anywhere
+in a text. The item is found if its pieces' shingle overlaps, weighted by the words of question and answer in them, reach OVERLAP for both. Its score is
+the pieces' mean, by words, and start_word the first piece's.
+
 Defined results: null text counts as empty and has no passages; null items are left out; items whose text is repeated are found
 each; null doc ids are reported with null; repeated rows are reported once; an empty table or benchmark gives an empty result;
 extra columns are ignored by search() and passed on by keep().
@@ -31,6 +35,7 @@ from .common import arrow_map, cut, texts, without
 WORDS = re.compile(r"\w+")
 K1, B = 1.2, 0.75
 SHARD_ITEMS, BLOCKS, SEGMENT, THRESHOLD, OVERLAP, WIDTH = 4096, 32, 32, 0.5, 0.6, 5
+PIECE = 48
 SCHEMA = "doc_id long, item_id long, score double, question double, answer double, start_word long"
 
 
@@ -51,6 +56,7 @@ class Index:
     top: np.ndarray  # term x block: the greatest weight; the last row is for unknown words
     per_block: int
     parts: list[tuple[list[str], list[str]]]  # question and answer words
+    shares: list[tuple[int, float, float]]  # number of the whole item, share of its question and answer words; a whole item has 1 and 1
 
     def search(self, terms: np.ndarray, threshold: float) -> list[tuple[int, float]]:
         """(item, score) of all items that reach the threshold with these distinct known terms."""
@@ -94,6 +100,29 @@ class Index:
         return out
 
 
+def _alike(x: tuple[int, list[str]], df: dict[str, int]):
+    return max(x[1], key=lambda t: (df[t], t)), len(x[1]), x[0]
+
+
+def _cut_at(n: int) -> int:
+    """Words of the question of an item of n words."""
+    return max(1, n - max(min(3, n - 1), n // 4))
+
+
+def pieces(split: list[tuple[int, list[str]]]) -> tuple[list[tuple[int, list[str]]], list[tuple[int, float, float]]]:
+    """The items, those longer than a passage in pieces, and of each its Index.shares."""
+    out, shares = [], []
+    for number, (i, w) in enumerate(split):
+        n = 1 if len(w) <= 2 * SEGMENT else math.ceil(len(w) / PIECE)
+        question = _cut_at(len(w))
+        for k in range(n):
+            lo, hi = k * len(w) // n, (k + 1) * len(w) // n
+            out.append((i, w[lo:hi]))
+            in_question = max(0, min(hi, question) - lo)
+            shares.append((number, 1, 1) if n == 1 else (number, in_question / question, (hi - lo - in_question) / (len(w) - question)))
+    return out, shares
+
+
 def build(items: list[tuple[int, str]], blocks: int = BLOCKS) -> list[Index]:
     """Shards of the index. Document frequencies and the average length are of all items, so that shards do not change scores."""
     split = [(i, w) for i, t in items if t and (w := words(t))]
@@ -101,9 +130,11 @@ def build(items: list[tuple[int, str]], blocks: int = BLOCKS) -> list[Index]:
     for _, w in split:
         for x in set(w):
             df[x] = df.get(x, 0) + 1
-    mean = sum(len(w) for _, w in split) / max(1, len(split))
     idf = {x: math.log(1 + (len(split) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
-    split.sort(key=lambda x: (max(x[1], key=lambda t: (df[t], t)), len(x[1]), x[0]))  # alike items share blocks
+    split, whole_of = pieces(split)
+    mean = sum(len(w) for _, w in split) / max(1, len(split))
+    whole_of = [x for _, x in sorted(zip(split, whole_of), key=lambda x: _alike(x[0], df))]
+    split.sort(key=lambda x: _alike(x, df))  # alike items share blocks
     out = []
     for s in range(0, len(split), SHARD_ITEMS):
         part = split[s : s + SHARD_ITEMS]
@@ -121,8 +152,9 @@ def build(items: list[tuple[int, str]], blocks: int = BLOCKS) -> list[Index]:
                 t = vocabulary[x]
                 postings[t].append((i, v / whole))
                 top[t, i // per_block] = max(top[t, i // per_block], v / whole)
-        cut_at = [max(1, len(w) - max(min(3, len(w) - 1), len(w) // 4)) for _, w in part]
-        out.append(Index([i for i, _ in part], vocabulary, postings, top, per_block, [(w[:c], w[c:]) for (_, w), c in zip(part, cut_at)]))
+        own = whole_of[s : s + SHARD_ITEMS]
+        cut_at = [_cut_at(len(w)) if x[1:] == (1, 1) else len(w) for (_, w), x in zip(part, own)]
+        out.append(Index([i for i, _ in part], vocabulary, postings, top, per_block, [(w[:c], w[c:]) for (_, w), c in zip(part, cut_at)], own))
     return out
 
 
@@ -160,9 +192,18 @@ def _search(batches, shards, threshold, overlap):
     for b in batches:
         rows = []
         for i, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
+            long: dict[int, list] = {}
             for index in shards:
                 for item, (score, q, a, p) in find(text, index, threshold, overlap).items():
-                    rows.append((i, index.ids[item], score, q, a, p * SEGMENT))
+                    number, in_question, in_answer = index.shares[item]
+                    if (in_question, in_answer) == (1, 1):
+                        rows.append((i, index.ids[item], score, q, a, p * SEGMENT))
+                    else:
+                        long.setdefault(number, []).append((index.ids[item], score, q * in_question, q * in_answer, p * SEGMENT, len(index.parts[item][0])))
+            for found in long.values():
+                q, a = (sum(x[k] for x in found) for k in (2, 3))
+                if min(q, a) >= overlap - 1e-9:
+                    rows.append((i, found[0][0], sum(x[1] * x[5] for x in found) / sum(x[5] for x in found), q, a, min(x[4] for x in found)))
         kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "score", "question", "answer", "start_word"])
 

@@ -159,6 +159,18 @@ def test_decontamination_and_clean_documents(spark, benchmark):
     assert {r.doc_id for r in decontaminate.keep(docs, benchmark).collect()} == {2, 4}
 
 
+def test_decontamination_of_long_items(spark):
+    r = np.random.default_rng(8)
+    texts = [" ".join(f"v{x}" for x in r.integers(0, 3000, n)) for n in (300, 65, 130, 300)]
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    other = lambda n: " ".join(f"z{x}" for x in r.integers(0, 3000, n))
+    docs = [(i, f"{other(77 + i)} {t} {other(150)}") for i, t in enumerate(texts)]
+    docs += [(10, other(50) + " " + " ".join(texts[0].split()[:100]) + " " + other(50)), (11, " ".join(texts[0].split()[::-1])), (12, other(700))]
+    got = decontaminate.search(spark.createDataFrame(docs, "doc_id long, text string"), items).collect()
+    assert {(g.doc_id, g.item_id) for g in got} == {(i, i) for i in range(4)}
+    assert all(g.question >= 0.9 and g.answer >= 0.9 for g in got)
+
+
 def test_packing_is_optimal_and_whole(spark):
     r = np.random.default_rng(0)
     for _ in range(20):
