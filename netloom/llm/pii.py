@@ -5,9 +5,10 @@ pieces and matches before a match sum to its start (code points).
 
 Sanitisation: a term's disclosure of a protected entity is the share of the entity's information that the term gives away,
     log2(n_et * N / (n_t * n_e)) / log2(N / n_e)      over documents of the whole corpus,
-where n_et counts documents with the term within WINDOW characters of the entity, n_t those with the term anywhere, n_e those
+where n_et counts documents with the entity and the term, wherever it stands, n_t those with the term, n_e those
 with the entity. From GENERALISE on a term is replaced by its class, from REMOVE on it is removed, in the documents that
-hold that entity. Only entities with SUPPORT distinct contexts can be judged, so mere copies of one text reveal nothing.
+hold that entity. Only entities with SUPPORT distinct contexts (WINDOW characters on both sides) can be judged, and only terms that
+stand in documents with SUPPORT distinct contexts of the entity, so mere copies of one text reveal nothing.
 
 Defined results: null text counts as empty; empty texts have no spans; rows with a null id get their row and take part;
 repeated rows each get their row; an empty table gives an empty result; extra columns are ignored.
@@ -99,17 +100,24 @@ def _letters(text: Column) -> Column:
 
 
 def disclosures(own: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, version, terms): the revealing terms of each document, with their disclosure. found: a table of doc_id, version, spans, context."""
+    """(doc, version, terms): the revealing terms of each document, with their disclosure. found: a table of doc_id, version, spans, contexts, words (of texts with spans)."""
     spark = own.sparkSession
     empty = spark.createDataFrame([], "doc_id long, version long, terms array<struct<term:string,share:double>>")
-    mention = F.explode(F.zip_with("spans", "contexts", lambda s, c: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), c.alias("context"))))
+    mention = F.explode(F.zip_with("spans", "contexts", lambda s, c: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), F.xxhash64(c).alias("c"))))
     mentions = found.where(F.size("spans") > 0).select("doc_id", "version", mention.alias("m")).select("doc_id", "version", "m.*")
-    entities = cut(mentions.groupBy("entity", F.xxhash64("context").alias("c"), "version").agg(F.count("*").alias("n")).groupBy("entity").agg(F.count_distinct("c").alias("contexts"), F.count("*").alias("n_e")).where(F.col("contexts") >= SUPPORT), "entities")
+    entities = cut(mentions.groupBy("entity").agg(F.count_distinct("c").alias("contexts")).where(F.col("contexts") >= SUPPORT).select("entity"), "entities")
     if entities.isEmpty():
         return empty
     total = own.count()
-    terms = mentions.join(sized(entities, BROADCAST_ROWS), "entity").select("doc_id", "version", "entity", "n_e", "context", F.explode(_letters(F.col("context"))).alias("term"))
-    pairs = cut(terms.groupBy("entity", "term", "n_e", F.xxhash64("context").alias("c"), "version").agg(F.count("*").alias("x")).groupBy("entity", "term", "n_e").agg(F.count("*").alias("n_et"), F.count_distinct("c").alias("support")).where(F.col("support") >= SUPPORT), "pairs")
+    # each row of found once for each of its entities, with the first context of the entity there
+    values = F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))
+    at = F.transform(F.array_distinct(values), lambda e: F.struct(e.alias("entity"), F.xxhash64(F.get("contexts", (F.array_position(values, e) - 1).cast("int"))).alias("c")))
+    holders = found.where(F.size("spans") > 0).select("doc_id", "version", "words", F.explode(at).alias("m")).select("doc_id", "version", "words", "m.*").join(sized(entities, BROADCAST_ROWS), "entity")
+    holders = cut(holders, "holders")
+    terms = holders.select("entity", "c", F.explode("words").alias("term"))
+    pairs = terms.groupBy("entity", "term", "c").agg(F.count("*").alias("x")).groupBy("entity", "term").agg(F.sum("x").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
+    n_e = cut(holders.groupBy("entity").agg(F.count("*").alias("n_e")), "holder-counts")
+    pairs = cut(pairs.join(sized(n_e, BROADCAST_ROWS), "entity"), "pairs")
     candidates = cut(pairs.select("term").distinct(), "terms")
     if candidates.isEmpty():
         return empty
@@ -119,7 +127,8 @@ def disclosures(own: DataFrame, found: DataFrame) -> DataFrame:
     information = F.log2(F.lit(float(total)) / F.col("n_e"))
     share = F.when(information > 0, F.log2(F.col("n_et") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / information).otherwise(0.0)
     flagged = cut(pairs.join(counts, "term").select("entity", "term", share.alias("share")).where(F.col("share") >= GENERALISE), "flagged")
-    return terms.select("doc_id", "version", "entity", "term").join(sized(flagged, BROADCAST_ROWS), ["entity", "term"]).groupBy("doc_id", "version", "term").agg(F.max("share").alias("share")).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))
+    shown = holders.select("doc_id", "version", "entity", F.explode("words").alias("term")).join(sized(flagged, BROADCAST_ROWS), ["entity", "term"])
+    return shown.groupBy("doc_id", "version", "term").agg(F.max("share").alias("share")).groupBy("doc_id", "version").agg(F.sort_array(F.collect_list(F.struct("term", "share"))).alias("terms"))
 
 
 def spans(docs: DataFrame) -> DataFrame:
@@ -128,7 +137,7 @@ def spans(docs: DataFrame) -> DataFrame:
     context = lambda s: F.concat(
         F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - WINDOW), F.least(F.lit(WINDOW), s["start"])), F.lit("\n"), F.substring(F.col("text"), s["end"] + 1, F.lit(WINDOW))
     )
-    found = cut(base(own).select("doc_id", "version", "spans", F.transform("spans", context).alias("contexts")), "spans")
+    found = cut(base(own).select("doc_id", "version", "spans", F.transform("spans", context).alias("contexts"), F.when(F.size("spans") > 0, _letters(F.col("text"))).alias("words")), "spans")
     terms = cut(disclosures(own, found), "disclosures")
     if terms.isEmpty():
         return found.select("doc_id", "version", "spans", F.array().cast(found.schema["spans"].dataType).alias("extra"))

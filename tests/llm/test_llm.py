@@ -218,6 +218,14 @@ def test_pii_spans_and_disclosure(spark):
     assert "zebrafish" not in clean[10] and "bob@" not in clean[10] and clean[50] == rows[7][1]
 
 
+def test_pii_terms_far_from_the_entity(spark):
+    far = lambda i: " ".join(f"filler{chr(97 + i)}{chr(97 + k)} word" for k in range(26))
+    rows = [(i, f"Quagmire {far(i)} mail bob@host.org about thing{chr(97 + i)}") for i in range(4)] + [(50 + i, f"plain text {far(i % 20)}") for i in range(60)]
+    assert all(t.index("bob@") > 2 * pii.WINDOW for _, t in rows[:4])
+    got = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all("removed:0:8" in got[i] for i in range(4)) and not any(got[50 + i] for i in range(60))
+
+
 def test_url_rules_and_tree(spark):
     pages = [(1, "http://A.example.NET/en/5?x"), (2, "http://x.net/a"), (3, None), (4, "nohost"), (5, "http://example.com/de/1"), (6, "http://z.org/fr/#t"), (7, "http://net"), (8, "http://notexample.com/de/9")]
     pages += [(100 + i, f"http://mixed.info/{'bad' if i % 2 else 'good'}/{i}") for i in range(400)]
