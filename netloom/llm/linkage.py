@@ -6,7 +6,8 @@ list checked:
 
 1. each item against the pivot of its lists (the most central item) that it collides with most;
 2. items not connected to their pivot: against their lists' other pivots, and for each component that pivots of their lists are in, against FAN
-   members of it, from the shortest such list (the one whose members share the rarest token with the item);
+   members of it, from the shortest such list (the one whose members share the rarest token with the item). All items of a list meet the same
+   members, so without signatures a list is compared as blocks: each set is sent once to a block of at most about BLOCK items, not once for each pair;
 3. what is still apart: an exact set-similarity join of these items with all members of their lists, on the full sets. Elements are in
    order of rising frequency; a pair is made where two prefixes share an element, the sizes allow the similarity, and the elements
    that remain from there on could still reach the overlap (prefix, length and positional filters, which lose no similar pair).
@@ -18,7 +19,7 @@ common passage, but are not similar, differ in their rare elements, which stand
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,8 @@ from .common import arrow_map, cut, forget, sized
 from .components import components
 
 FAN = 16
+#: Items of one list that are compared in one task with the list's FAN members; a longer list is dealt by a hash of the item.
+BLOCK = 1024
 #: Most candidate pairs that are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_PAIRS = 500_000
 
@@ -61,6 +64,29 @@ def verified(pairs: DataFrame, sets: Callable[[DataFrame], DataFrame], percent:
     return out
 
 
+def _blocked(table, percent):
+    """The similar pairs of one block's members and items."""
+    kind = table["member"].to_pylist()
+    rows = [(i, np.frombuffer(x.as_buffer(), np.uint64)) for i, x in zip(table["id"].to_pylist(), table["set"])]
+    members = [r for r, m in zip(rows, kind) if m]
+    found = [(a, b) for (b, y), m in zip(rows, kind) if not m for a, x in members if a != b and shingles.similar(x, y, percent)]
+    return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
+
+
+def _in_blocks(items: DataFrame, members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """The similar pairs (a, b) of items(token, size, b) and members(token, size, a) of the same list; size is the list's."""
+    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+    rows = items.select("token", F.pmod(F.xxhash64("b"), parts).cast("int").alias("part"), F.col("b").alias("id"), F.lit(False).alias("member")).union(
+        members.select("token", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.col("a").alias("id"), F.lit(True))
+    )
+    rows = cut(rows, "blocks")
+    ids = cut(rows.select("id").distinct(), "ids")
+    full = cut(sets(ids), "sets")
+    out = cut(rows.join(full, "id").groupBy("token", "part").applyInArrow(partial(_blocked, percent=percent), "a long, b long"), "verified")
+    forget(rows, ids, full)
+    return out
+
+
 def _elements(batches):
     for b in batches:
         ids, n, e = [], [], []
@@ -116,16 +142,23 @@ def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[D
         if last:
             pairs = cut(_full_join(apart.select("b", "c_b").distinct(), open_.select("id", "c").distinct(), sets, percent), "pairs")
         else:
-            members = open_.where("c = main and id <> pivot").select("token", F.col("id").alias("a"), F.xxhash64("id").alias("h"))
-            short = apart.groupBy("b", "main").agg(F.min(F.struct("size", "token")).alias("s")).select("b", F.col("s.token").alias("token"))
-            pairs = short.join(_few(members, fan), "token").select("a", "b").union(
-                first.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-            )
-            pairs = cut(collisions(pairs, sigs, least).select("a", "b"), "pairs")
+            members = open_.where("c = main and id <> pivot").select("token", "size", F.col("id").alias("a"), F.xxhash64("id").alias("h"))
+            short = apart.groupBy("b", "main").agg(F.min(F.struct("size", "token")).alias("s")).select("b", "s.size", "s.token")
+            few = _few(members, fan)
+            pivots = first.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+            if sigs is None:
+                few = cut(few, "members")
+                blocks = _in_blocks(short.join(few.select("token").distinct(), "token", "left_semi"), few, sets, percent)
+                forget(few)
+                pairs = cut(pivots, "pairs")
+            else:
+                blocks = None
+                pairs = cut(collisions(short.join(few.drop("size"), "token").select("a", "b").union(pivots), sigs, least).select("a", "b"), "pairs")
         found, old, before = verified(pairs, sets, percent), links, comp
-        links = cut(old.union(found), "all-links")
+        more = [old, found] if last or blocks is None else [old, found, blocks]
+        links = cut(reduce(DataFrame.union, more), "all-links")
         comp = _settled(links)
-        forget(apart, open_, pairs, found, old, before)
+        forget(apart, open_, pairs, before, *more)
     forget(lists, posts, first, best, links)
     return comp
 
@@ -141,4 +174,4 @@ def _settled(links: DataFrame) -> DataFrame:
 def _few(members: DataFrame, fan: int) -> DataFrame:
     """Up to `fan` members of each token, by hash: the least of each of `fan` hash classes, combined on the map side."""
     slot = F.pmod(F.xxhash64("h"), F.lit(fan))
-    return members.groupBy("token", slot.alias("slot")).agg(F.min(F.struct("h", "a")).alias("m")).select("token", F.col("m.a").alias("a"))
+    return members.groupBy("token", "size", slot.alias("slot")).agg(F.min(F.struct("h", "a")).alias("m")).select("token", "size", F.col("m.a").alias("a"))
