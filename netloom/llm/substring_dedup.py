@@ -203,7 +203,9 @@ def removals(docs: DataFrame) -> DataFrame:
     classes = cut(classes.select(F.monotonically_increasing_id().alias("id"), "key", "first", "bands"), "classes")
     tokens = classes.select("id", F.explode("bands").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("n")).where("n > 1")
-    posted = cut(tokens.join(often, "token").select("token", "id", F.lit(0).alias("weight")), "postings")
+    # a class's weight is how common its bands are: the pivot of a list is its most central member
+    central = tokens.join(often, "token").groupBy("id").agg(F.sum("n").alias("weight"), F.collect_list("token").alias("tokens"))
+    posted = cut(central.select(F.explode("tokens").alias("token"), "id", "weight"), "postings")
 
     def sets(ids: DataFrame) -> DataFrame:
         want = cut(classes.join(ids, "id", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id")).alias("want")), "want")
