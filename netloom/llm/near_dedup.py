@@ -11,7 +11,7 @@ writing out a list's pairs. K = 64 and MATCHES = 33: at J = 0.75 a pair misses w
 
 Defined results: null text counts as empty; documents without words have no shingles, are linked with nothing, and stay;
 with fewer than five words the whole sequence is one shingle; rows with a null id take no part, have a null component and stay;
-rows with one id are one node; ties go to the smallest id; an empty table gives an empty result; extra columns are ignored
+rows with one id are one node, also where their texts differ: what any of them is linked with is one component; ties go to the smallest id; an empty table gives an empty result; extra columns are ignored
 by decide() and passed on by keep().
 """
 
@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_map, cut, forget, only, texts, without
+from .common import arrow_map, cut, forget, only, sized, texts, without
+from .components import components
 from .linkage import link
 
 COORDINATES, MATCHES = 64, 33
@@ -72,9 +73,20 @@ def _decide(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     out = rows.select("doc_id", "n_shingles", "key").join(of, "key", "left")
     # rows with one id are one node, whatever their texts
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id"))
-    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component"))
+    split = out.where("doc_id is not null").groupBy("doc_id").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
+    split = cut(split, "split-ids")  # ids whose rows have different texts
+    used = [rows, classes, comp, split]
+    joined = F.col("component")
+    if not split.isEmpty():
+        every = cut(out.join(split.select("doc_id", "a"), "doc_id").select("a", F.col("component").alias("b")), "id-links")
+        over = components(every)
+        out = out.join(sized(over.select(F.col("id").alias("component"), F.col("component").alias("over"))), "component", "left")
+        joined = F.coalesce("over", "component")
+        used += [every, over]
+    out = out.select("doc_id", "n_shingles", joined.alias("component_id"), F.coalesce(F.col("doc_id") == joined, F.lit(True)).alias("kept"))
     forget(posted)
-    return out, [rows, classes, comp]
+    return out, used
 
 
 def keep(docs: DataFrame) -> DataFrame:
