@@ -1,14 +1,14 @@
 """Personal data: base patterns, and information-theoretic sanitisation of the terms that reveal them.
 
 All work on executors is DataFrame and SQL functions. Offsets come from splitting a text at a pattern: the lengths of the
-pieces and matches before a match sum to its start (code points).
+pieces and matches before a match sum to its start (code points), in time linear in the text.
 
 Sanitisation: a term's disclosure of a protected entity is the share of the entity's information that the term gives away,
     log2(n_et * N / (n_t * n_e)) / log2(N / n_e)      over documents of the whole corpus,
 where n_et counts documents with the entity and the term, wherever it stands, n_t those with the term, n_e those
 with the entity. From GENERALISE on a term is replaced by its class, from REMOVE on it is removed, in the documents that
-hold that entity. Only entities with SUPPORT distinct contexts (WINDOW characters on both sides) can be judged, and only terms that
-stand in documents with SUPPORT distinct contexts of the entity, so mere copies of one text reveal nothing.
+hold that entity. Only entities with SUPPORT distinct contexts (WINDOW characters on both sides, up to the next finding of the kind) can be judged, and
+only terms that stand in documents with SUPPORT distinct contexts of the entity, so mere copies of one text reveal nothing. All four counts are of rows.
 
 Defined results: null text counts as empty; empty texts have no spans; rows with a null id get their row and take part;
 repeated rows each get their row; an empty table gives an empty result; extra columns are ignored.
@@ -22,36 +22,42 @@ from pyspark.sql import functions as F
 from .common import cut, sized, texts
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
-IP = r"[0-9]++(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
-#: Runs of digits and separators that are long enough for a card; cards are their parts between double separators.
-RUN, GAP = r"[0-9][0-9\x20-]{10,}[0-9]", r"[\x20-]{2,}"
+#: The base patterns, written so that no text makes them recurse or scan a run again: possessive, and tried only where a run or the rest after a match begins.
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
+CARD = r"[0-9](?:[\x20-]?[0-9]){11,}+"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 WINDOW, SUPPORT, GENERALISE, REMOVE = 120, 2, 0.8, 0.95
 #: Most rows of a join side that are broadcast (about 100 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
-_SPAN = "array<struct<start:int,end:int,value:string>>"
+_SPAN = "array<struct<start:int,end:int,value:string,c:bigint>>"
+#: Matches whose places are summed together; the sums of blocks are added up, so that no array is built anew for every match.
+STEP = 64
 
 
-def _placed(pieces: Column, matches: Column) -> Column:
-    """(start, end, value) of the matches, by the pieces between them."""
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(pieces, i)) + F.length(F.get(matches, i))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(F.get(pieces, i))).alias("start"), (acc["at"] + F.length(F.get(pieces, i)) + F.length(F.get(matches, i))).alias("end"), F.get(matches, i).alias("value")))).alias("out"),
-    )
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), zero, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
+def _items(pieces: Column, matches: Column) -> Column:
+    """Of each match: the characters between it and the one before, the match, and a hash of its context (WINDOW characters of the pieces on both sides)."""
+    both = F.zip_with(pieces, matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
+    after = F.zip_with(both, F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0))), lambda x, n: F.struct(
+        F.length(x["p"]).alias("gap"), x["m"].alias("value"), F.xxhash64(F.right(x["p"], F.lit(WINDOW)), F.lit("\n"), F.left(n, F.lit(WINDOW))).alias("c")
+    ))
+    return F.filter(after, lambda x: x["value"].isNotNull())
 
 
-def _cards(run: Column) -> Column:
-    """The parts of a run, with their places in the text: where the texts between double separators stand."""
-    parts, gaps = F.split(run["value"], GAP, -1), F.regexp_extract_all(run["value"], F.lit(GAP), F.lit(0))
-    step = lambda acc, i: F.struct(
-        (acc["at"] + F.length(F.get(parts, i)) + F.coalesce(F.length(F.get(gaps, i)), F.lit(0))).alias("at"),
-        F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), (acc["at"] + F.length(F.get(parts, i))).alias("end"), F.get(parts, i).alias("value")))).alias("out"),
+def _placed(items: str) -> Column:
+    """(start, end, value, c) of the matches in column `items`, by running sums in blocks of STEP. It must be a column: expressions in a lambda are computed again for every element."""
+    one = lambda acc, x: F.struct(
+        (acc["at"] + x["gap"] + F.length(x["value"])).alias("at"),
+        F.concat(acc["out"], F.array(F.struct((acc["at"] + x["gap"]).alias("start"), (acc["at"] + x["gap"] + F.length(x["value"])).alias("end"), x["value"].alias("value"), x["c"].alias("c")))).alias("out"),
     )
-    zero = F.struct(run["start"].alias("at"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(F.sequence(F.lit(0), F.size(parts) - 1), zero, step, lambda acc: acc["out"])
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / STEP).cast("int")), lambda k: F.aggregate(F.slice(items, k * STEP + 1, F.lit(STEP)), zero, one))
+    shift = lambda acc, b: F.struct(
+        (acc["at"] + b["at"]).alias("at"),
+        F.concat(acc["out"], F.array(F.transform(b["out"], lambda x: F.struct((x["start"] + acc["at"]).alias("start"), (x["end"] + acc["at"]).alias("end"), x["value"].alias("value"), x["c"].alias("c"))))).alias("out"),
+    )
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_SPAN}>").alias("out"))
+    return F.when(F.size(items) > 0, F.flatten(F.aggregate(blocks, start, shift, lambda acc: acc["out"]))).otherwise(F.array().cast(_SPAN))
 
 
 def _digits(c: Column) -> Column:
@@ -68,22 +74,20 @@ def _ip_ok(x: Column) -> Column:
 
 
 def _named(k: int, kind: str):
-    return lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"))
+    return lambda x: F.struct(x["start"].alias("start"), F.lit(k).alias("k"), x["end"].alias("end"), F.lit(kind).alias("kind"), x["value"].alias("value"), x["c"].alias("c"))
 
 
 def base(own: DataFrame) -> DataFrame:
-    """own(doc_id, text) with column spans: start, end, k (place in KINDS), kind, value; in order of start, then kind."""
+    """own(doc_id, text) with column spans: start, end, k (place in KINDS), kind, value, c (a hash of the context); in order of start, then kind."""
     none = F.array().cast("array<string>")
-    cut_ = lambda p, when: (F.when(when, F.split("text", p, -1)).otherwise(none), F.when(when, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none))
+    cut_ = lambda p, when: _items(F.when(when, F.split("text", p, -1)).otherwise(none), F.when(when, F.regexp_extract_all("text", F.lit(p), F.lit(0))).otherwise(none))
     digit = F.col("text").rlike("[0-9]")
-    cols = {}
-    for kind, (pieces, matches) in {"email": cut_(EMAIL, F.contains("text", F.lit("@"))), "ip": cut_(IP, digit), "card": cut_(RUN, digit), "phone": cut_(PHONE, F.contains("text", F.lit("+")))}.items():
-        cols |= {f"_p_{kind}": pieces, f"_m_{kind}": matches}
-    df = own.withColumns(cols).withColumns({f"_s_{k}": _placed(F.col(f"_p_{k}"), F.col(f"_m_{k}")) for k in KINDS})
+    cols = {"email": cut_(EMAIL, F.contains("text", F.lit("@"))), "ip": cut_(IP, digit), "card": cut_(CARD, digit), "phone": cut_(PHONE, F.contains("text", F.lit("+")))}
+    df = own.withColumns({f"_i_{k}": c for k, c in cols.items()}).withColumns({f"_s_{k}": _placed(f"_i_{k}") for k in KINDS})
     found = {
         "email": F.col("_s_email"),
         "ip": F.filter("_s_ip", _ip_ok),
-        "card": F.filter(F.flatten(F.transform("_s_card", _cards)), _card_ok),
+        "card": F.filter("_s_card", _card_ok),
         "phone": F.filter("_s_phone", lambda x: F.length(_digits(x["value"])).between(9, 15)),
     }
     named = [F.transform(found[kind], _named(k, kind)) for k, kind in enumerate(KINDS)]
@@ -100,19 +104,18 @@ def _letters(text: Column) -> Column:
 
 
 def disclosures(own: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc, version, terms): the revealing terms of each document, with their disclosure. found: a table of doc_id, version, spans, contexts, words (of texts with spans)."""
+    """(doc, version, terms): the revealing terms of each document, with their disclosure. found: a table of doc_id, version, spans, words (of texts with spans)."""
     spark = own.sparkSession
     empty = spark.createDataFrame([], "doc_id long, version long, terms array<struct<term:string,share:double>>")
-    mention = F.explode(F.zip_with("spans", "contexts", lambda s, c: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), F.xxhash64(c).alias("c"))))
+    mention = F.explode(F.transform("spans", lambda s: F.struct(F.xxhash64(s["kind"], F.lower(s["value"])).alias("entity"), s["c"].alias("c"))))
     mentions = found.where(F.size("spans") > 0).select("doc_id", "version", mention.alias("m")).select("doc_id", "version", "m.*")
     entities = cut(mentions.groupBy("entity").agg(F.count_distinct("c").alias("contexts")).where(F.col("contexts") >= SUPPORT).select("entity"), "entities")
     if entities.isEmpty():
         return empty
     total = own.count()
-    # each row of found once for each of its entities, with the first context of the entity there
-    values = F.transform("spans", lambda s: F.xxhash64(s["kind"], F.lower(s["value"])))
-    at = F.transform(F.array_distinct(values), lambda e: F.struct(e.alias("entity"), F.xxhash64(F.get("contexts", (F.array_position(values, e) - 1).cast("int"))).alias("c")))
-    holders = found.where(F.size("spans") > 0).select("doc_id", "version", "words", F.explode(at).alias("m")).select("doc_id", "version", "words", "m.*").join(sized(entities, BROADCAST_ROWS), "entity")
+    # each row of found once for each of its entities, with the least context of the entity there
+    rows = found.where(F.size("spans") > 0).withColumn("row", F.monotonically_increasing_id()).select("doc_id", "version", "words", "row", mention.alias("m")).select("doc_id", "version", "words", "row", "m.*")
+    holders = rows.join(sized(entities, BROADCAST_ROWS), "entity").groupBy("row", "entity").agg(F.min("c").alias("c"), *(F.first(x).alias(x) for x in ("doc_id", "version", "words")))
     holders = cut(holders, "holders")
     terms = holders.select("entity", "c", F.explode("words").alias("term"))
     pairs = terms.groupBy("entity", "term", "c").agg(F.count("*").alias("x")).groupBy("entity", "term").agg(F.sum("x").alias("n_et"), F.count("*").alias("support")).where(F.col("support") >= SUPPORT)
@@ -134,18 +137,15 @@ def disclosures(own: DataFrame, found: DataFrame) -> DataFrame:
 def spans(docs: DataFrame) -> DataFrame:
     """(doc_id, version, spans, extra): base spans, and spans of revealing terms (kind `term` generalised, `removed` removed), for each row of docs. version is a hash of the text."""
     own = texts(docs).withColumn("version", F.xxhash64("text"))
-    context = lambda s: F.concat(
-        F.substring(F.col("text"), F.greatest(F.lit(1), s["start"] + 1 - WINDOW), F.least(F.lit(WINDOW), s["start"])), F.lit("\n"), F.substring(F.col("text"), s["end"] + 1, F.lit(WINDOW))
-    )
-    found = cut(base(own).select("doc_id", "version", "spans", F.transform("spans", context).alias("contexts"), F.when(F.size("spans") > 0, _letters(F.col("text"))).alias("words")), "spans")
+    found = cut(base(own).select("doc_id", "version", "spans", F.when(F.size("spans") > 0, _letters(F.col("text"))).alias("words")), "spans")
     terms = cut(disclosures(own, found), "disclosures")
     if terms.isEmpty():
         return found.select("doc_id", "version", "spans", F.array().cast(found.schema["spans"].dataType).alias("extra"))
     pattern = F.concat(F.lit(r"(?iu)(?<!\p{L})(?:"), F.array_join(F.transform("terms", lambda t: t["term"]), "|"), F.lit(r")(?!\p{L})"))
     key = [F.col("o.doc_id").eqNullSafe(F.col("t.doc_id")), F.col("o.version") == F.col("t.version")]
     hit = own.alias("o").join(sized(terms, BROADCAST_ROWS).alias("t"), key).select("o.doc_id", "o.version", "o.text", "t.terms").distinct().withColumn("_r", pattern)
-    hit = hit.withColumns({"_p": F.split("text", F.col("_r"), -1), "_m": F.regexp_extract_all("text", F.col("_r"), F.lit(0))}).withColumn("_s", _placed(F.col("_p"), F.col("_m")))
-    named = F.transform("_s", lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("k"), x["end"].alias("end"), F.when(F.exists("terms", lambda t: (t["term"] == F.lower(x["value"])) & (t["share"] >= REMOVE)), "removed").otherwise("term").alias("kind"), x["value"].alias("value")))
+    hit = hit.withColumn("_i", _items(F.split("text", F.col("_r"), -1), F.regexp_extract_all("text", F.col("_r"), F.lit(0)))).withColumn("_s", _placed("_i"))
+    named = F.transform("_s", lambda x: F.struct(x["start"].alias("start"), F.lit(len(KINDS)).alias("k"), x["end"].alias("end"), F.when(F.exists("terms", lambda t: (t["term"] == F.lower(x["value"])) & (t["share"] >= REMOVE)), "removed").otherwise("term").alias("kind"), x["value"].alias("value"), x["c"].alias("c")))
     extra = hit.select(F.col("doc_id").alias("_d"), F.col("version").alias("_v"), named.alias("extra"))
     both = found.join(extra, found.doc_id.eqNullSafe(F.col("_d")) & (found.version == F.col("_v")), "left")
     return both.select("doc_id", "version", "spans", F.coalesce("extra", F.array().cast(found.schema["spans"].dataType)).alias("extra"))
