@@ -58,7 +58,7 @@ def delete(spark: SparkSession, at: str) -> None:
 
 
 def arrow_map(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """mapInArrow with batches bounded by ARROW_ROWS."""
+    """mapInArrow with batches bounded by ARROW_ROWS. The session keeps that setting: Spark reads it when the result is run, after this call."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
     return df.mapInArrow(f, schema)
 
@@ -90,7 +90,7 @@ def fold(doc_id: Column, n: int) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, n: int, held: int, bound: int) -> DataFrame:
     """At most `bound` labelled rows outside the held-out fold, the first by a hash of the id: (doc_id, text, y, part).
 
-    Labels that are null or not 0/1 are left out; of repeated labels for an id the smallest counts.
+    Labels that are null or not 0/1 are left out; of repeated labels for an id the smallest counts, of repeated rows the least text.
     part is 0..3; the fitters calibrate on part 0 and fit on the rest. The ids are broadcast: `bound` is their size limit.
     """
     ids = (
@@ -100,5 +100,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, n: int, held:
         .groupBy("doc_id").agg(F.min("y").alias("y"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     )
-    kept = texts(docs).join(F.broadcast(ids), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)).cast("int"))
-    return cut(kept, "training")
+    kept = cut(texts(docs).join(F.broadcast(ids), "doc_id").withColumn("part", F.pmod(F.xxhash64(F.lit("part"), "doc_id"), F.lit(4)).cast("int")), "training")
+    again = kept.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if again.isEmpty():
+        return kept
+    one = cut(kept.groupBy("doc_id", "y", "part").agg(F.min("text").alias("text")).select(kept.columns), "training")
+    forget(kept)
+    return one

@@ -48,7 +48,8 @@ def quality(text: str) -> list[float]:
 INSULTS = frozenset("idiot idiots moron morons stupid dumb loser losers pathetic worthless trash garbage scum disgusting clown clowns fool fools freak jerk creep liar hate shut filthy vile ugly dirtbag imbecile".split())
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine tu te toi ton ta tes vous votre usted tus".split())
 _LEET = str.maketrans("013457@$!|", "oieastasil")
-_MIXED = re.compile(r"(?=\S*[A-Za-z])(?=\S*[0-9@$!|*])[A-Za-z0-9@$!|*]{3,}")
+#: Runs that mix letters with digits or signs; possessive, and tried only where a run begins, so that every text takes linear time.
+_MIXED = re.compile(r"(?<![A-Za-z0-9@$!|*])(?:[A-Za-z]++[0-9@$!|*]|[0-9@$!|*]++[A-Za-z])[A-Za-z0-9@$!|*]*+")
 _STRETCH = re.compile(r"([A-Za-z])\1{2,}")
 TOXIC_STATS = (
     "seed_density", "seed_log", "learned_density", "learned_log", "learned_weight", "distinct_seed", "near_second_person", "second_person", "upper", "upper_words", "bang", "question", "punct", "symbol",
@@ -73,6 +74,8 @@ def toxicity(text: str, learned: dict[str, float]) -> list[float]:
     mixed = leet = 0
     if count[_DIGIT].any() or count[[33, 36, 42, 64, 124]].any():
         for x in _MIXED.findall(text):
+            if len(x) < 3:
+                continue
             mixed += 1
             plain = x.lower().translate(_LEET)
             leet += plain in INSULTS or plain in learned
