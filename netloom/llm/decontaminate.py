@@ -14,7 +14,8 @@ in a text. The item is found if its pieces' shingle overlaps, weighted by the wo
 the pieces' mean, by words, and start_word the first piece's.
 
 Defined results: null text counts as empty and has no passages; null items are left out; items whose text is repeated are found
-each; null doc ids are reported with null; repeated rows are reported once; an empty table or benchmark gives an empty result;
+each; null doc ids are reported with null; repeated rows are reported once; of an id's several texts the one with the best score, then the
+first place, is reported; an empty table or benchmark gives an empty result;
 extra columns are ignored by search() and passed on by keep().
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 
 import math
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import partial
 
 import numpy as np
@@ -123,16 +124,32 @@ def pieces(split: list[tuple[int, list[str]]]) -> tuple[list[tuple[int, list[str
     return out, shares
 
 
-def build(items: list[tuple[int, str]], blocks: int = BLOCKS) -> list[Index]:
-    """Shards of the index. Document frequencies and the average length are of all items, so that shards do not change scores."""
-    split = [(i, w) for i, t in items if t and (w := words(t))]
-    df: dict[str, int] = {}
-    for _, w in split:
-        for x in set(w):
-            df[x] = df.get(x, 0) + 1
-    idf = {x: math.log(1 + (len(split) - n + 0.5) / (n + 0.5)) for x, n in df.items()}
-    split, whole_of = pieces(split)
-    mean = sum(len(w) for _, w in split) / max(1, len(split))
+@dataclass
+class Statistics:
+    """Of all items of a benchmark: how many there are, their pieces and words, and in how many each word stands."""
+
+    df: dict[str, int] = field(default_factory=dict)
+    items: int = 0
+    pieces: int = 0
+    words: int = 0
+
+    def add(self, items: list[tuple[int, str]]) -> Statistics:
+        split = [(i, w) for i, t in items if t and (w := words(t))]
+        for _, w in split:
+            for x in set(w):
+                self.df[x] = self.df.get(x, 0) + 1
+            self.words += len(w)
+        self.items, self.pieces = self.items + len(split), self.pieces + len(pieces(split)[0])
+        return self
+
+
+def build(items: list[tuple[int, str]], blocks: int = BLOCKS, of: Statistics | None = None) -> list[Index]:
+    """Shards of the index. Document frequencies and the average length are of all items (`of`, or these), so that shards and parts do not change scores."""
+    of = of or Statistics().add(items)
+    df = of.df
+    split, whole_of = pieces([(i, w) for i, t in items if t and (w := words(t))])
+    idf = {x: math.log(1 + (of.items - df[x] + 0.5) / (df[x] + 0.5)) for x in {x for _, w in split for x in w}}
+    mean = of.words / max(1, of.pieces)
     whole_of = [x for _, x in sorted(zip(split, whole_of), key=lambda x: _alike(x[0], df))]
     split.sort(key=lambda x: _alike(x, df))  # alike items share blocks
     out = []
@@ -208,21 +225,24 @@ def _search(batches, shards, threshold, overlap):
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["doc_id", "item_id", "score", "question", "answer", "start_word"])
 
 
-#: Most characters of benchmark items that one index may hold; a larger benchmark is searched in several calls of search().
-INDEX_CHARS = 64_000_000
+#: Most characters of benchmark items that one index may hold (some 200 MB in a worker); a larger benchmark is searched in parts, each with all documents.
+INDEX_CHARS = 8_000_000
 
 
 def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP) -> DataFrame:
     """(doc_id, item_id, score, question, answer, start_word): every verified item of every document."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    out = None
-    for k in range(n := max(1, math.ceil(chars / INDEX_CHARS))):  # bounded parts of the query set, each against all documents
-        part = items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)
-        shards = build([(r.item_id, r.text) for r in part.orderBy("item_id").collect()])
-        found = arrow_map(texts(docs), partial(_search, shards=shards, threshold=threshold, overlap=overlap), SCHEMA)
+    n = max(1, math.ceil(chars / INDEX_CHARS))
+    part = lambda k: [(r.item_id, r.text) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k)).orderBy("item_id", "text").collect()]
+    of, out = Statistics(), None
+    for k in range(n):
+        of.add(part(k))
+    for k in range(n):  # bounded parts of the query set, each against all documents
+        found = arrow_map(texts(docs), partial(_search, shards=build(part(k), of=of), threshold=threshold, overlap=overlap), SCHEMA)
         out = found if out is None else out.unionByName(found)
-    return out.dropDuplicates(["doc_id", "item_id"])
+    best = F.max(F.struct("score", (-F.col("start_word")).alias("back"), "question", "answer"))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("b")).select("doc_id", "item_id", "b.score", "b.question", "b.answer", (-F.col("b.back")).alias("start_word"))
 
 
 def keep(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
