@@ -1,21 +1,26 @@
 """URL filter: a tree of path templates per host, judged by smoothed labelled purity, under explicit rules.
 
-1. Segments that look variable (numbers, hex, dates, ids with digits) become a class; the pages of one host and typed path are
+1. Segments that look variable (numbers, hex, dates) become a class; the pages of one host and typed path are
    counted together with their labels, so that the tree works on templates, not on pages.
-2. Level by level, a node whose literal children are many and mostly seen once (VARIETY, RARE) takes one wildcard child; literal siblings whose
+2. Level by level, down to the deepest path, a node whose literal children are many and mostly seen once (VARIETY, RARE) takes one wildcard child; literal siblings whose
    share of good labels does not differ (two-sided z under Z) from the other pages of their node are merged.
 3. A template's purity is (good + STRENGTH * parent's purity) / (labelled + STRENGTH), from the root (all pages) over host and branches
    down; a template below PURITY is blocked.
 
+Each round of templates() takes every unsettled node over the segments that all its paths share, in one step, and then over one level where they
+part; there are as many rounds as the longest path has partings.
+
 Rules (host suffix, path prefix, verdict) come first; the longest that fits decides.
 
 Defined results: a null url or one without `://` has empty host and path, no rule, and the verdict of the template tree for
-the empty host; null ids and repeated rows each get their row; pages without any label are allowed; an empty table gives an
+the empty host; literal segments that begin like a mark of the tree ({ * ~) are escaped by a backslash; null ids and repeated rows each get their row; pages without any label are allowed; an empty table gives an
 empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,8 +28,6 @@ from .common import cut, forget, sized
 
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 VARIETY, RARE, Z, STRENGTH, PURITY = 12, 3.0, 1.96, 8.0, 0.5
-#: Levels of the tree; what is deeper is one segment of the last level.
-DEPTH = 6
 #: Most templates that are broadcast (about 100 bytes each); beyond it the join shuffles.
 BROADCAST_TEMPLATES = 100_000
 
@@ -49,17 +52,16 @@ def rule(h: Column, p: Column, rules=RULES) -> Column:
 
 
 def segments(p: Column) -> Column:
-    """Typed segments: {n} numbers, {h} long hex, {d} dates, {v} others with digits; an extension stays."""
+    """Typed segments: {n} numbers, {h} long hex, {d} dates; an extension stays. Others stay, and the tree tests and generalises them."""
     typed = lambda s: (
         F.when(s.rlike(r"^[0-9]+(\.[a-z]+)?$"), F.regexp_replace(s, r"^[0-9]+", "{n}"))
         .when(s.rlike(r"^[0-9]{4}-[0-9]{2}(-[0-9]{2})?$"), F.lit("{d}"))
-        .when(s.rlike(r"^[0-9a-fA-F-]{8,}$"), F.lit("{h}"))
-        .when(s.rlike(r"[0-9]"), F.lit("{v}"))
+        .when(s.rlike(r"^[0-9a-fA-F-]{8,}$") & s.rlike("[0-9]"), F.lit("{h}"))
+        .when(s.rlike(r"^[{*~\\\\]"), F.concat(F.lit("\\"), s))
         .otherwise(s)
     )
     own = F.filter(F.split(p, "/"), lambda s: s != "")
-    deep = F.when(F.size(own) > DEPTH, F.concat(F.slice(own, 1, DEPTH - 1), F.array(F.lit("{rest}")))).otherwise(own)
-    return F.concat(F.transform(deep, typed), F.when(p.endswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>")))
+    return F.concat(F.transform(own, typed), F.when(p.endswith("/"), F.array(F.lit("/"))).otherwise(F.array().cast("array<string>")))
 
 
 def templates(typed: DataFrame) -> DataFrame:
@@ -68,11 +70,22 @@ def templates(typed: DataFrame) -> DataFrame:
     prior = (total.g + 1) / (total.n + 1) if total.n else 1.0
     purity = lambda above: (F.col("k_good") + STRENGTH * above) / (F.col("k_labelled") + STRENGTH)
     tops = typed.groupBy("host").agg(F.sum("good").alias("k_good"), F.sum("labelled").alias("k_labelled")).select("host", purity(F.lit(prior)).alias("purity"))
-    tree = cut(typed.join(tops, "host").withColumn("template", F.lit("")), "tree")
-    deepest = tree.agg(F.max(F.size("segs")).alias("d")).first().d or 0
-    for level in range(deepest):  # at most DEPTH + 1
-        seg = F.get("segs", F.lit(level))
-        kids = tree.where(F.size("segs") > level).withColumn("seg", seg).groupBy("host", "template", "seg").agg(F.sum("n").alias("k_n"), F.sum("labelled").alias("k_labelled"), F.sum("good").alias("k_good"))
+    tree = cut(typed.join(tops, "host").select("host", "segs", "n", "labelled", "good", "purity", F.lit("").alias("template"), F.lit(0).alias("at")), "tree")
+    settled = [tree.where(F.size("segs") <= F.col("at"))]
+    while not (rows := tree.where(F.size("segs") > F.col("at"))).isEmpty():
+        # the segments that all paths of a node share: those of its least and greatest path
+        nodes = rows.groupBy("host", "template").agg(F.min("segs").alias("lo"), F.max("segs").alias("hi"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
+        parting = F.array_position(F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)).cast("int")
+        nodes = nodes.select("host", "template", F.when(parting == 0, F.size("lo")).otherwise(parting - 1).alias("to"), "l", "g")
+        own, steps = F.col("g") / F.col("l"), F.col("to") - F.col("at")
+        moved = rows.join(nodes, ["host", "template"]).select(
+            "host", "segs", "n", "labelled", "good",
+            F.when(F.col("l") > 0, own + (F.col("purity") - own) * F.pow(STRENGTH / (F.col("l") + STRENGTH), steps)).otherwise(F.col("purity")).alias("purity"),  # `steps` levels with the same counts
+            F.concat("template", F.when(steps > 0, F.concat(F.lit("/"), F.array_join(F.slice("segs", F.col("at") + 1, steps), "/"))).otherwise("")).alias("template"), F.col("to").alias("at"),
+        )
+        moved = cut(moved, "moved")
+        seg = F.get("segs", F.col("at"))
+        kids = moved.where(F.size("segs") > F.col("at")).withColumn("seg", seg).groupBy("host", "template", "seg").agg(F.sum("n").alias("k_n"), F.sum("labelled").alias("k_labelled"), F.sum("good").alias("k_good"))
         nodes = kids.groupBy("host", "template").agg(F.count("*").alias("variety"), F.sum("k_n").alias("n"), F.sum("k_labelled").alias("labelled"), F.sum("k_good").alias("good"))
         rest_n, rest_g = F.col("labelled") - F.col("k_labelled"), F.col("good") - F.col("k_good")
         p = F.col("good") / F.col("labelled")
@@ -83,13 +96,13 @@ def templates(typed: DataFrame) -> DataFrame:
         branch = kids.join(nodes, ["host", "template"]).select("host", "template", "seg", F.concat("template", F.lit("/"), shown).alias("child"), "k_labelled", "k_good")
         merged = branch.groupBy("host", "template", "child").agg(F.sum("k_labelled").alias("k_labelled"), F.sum("k_good").alias("k_good"))
         step = branch.select("host", "template", "seg", "child").join(merged, ["host", "template", "child"])
-        after = tree.withColumn("seg", seg).join(step, ["host", "template", "seg"], "left").select(
-            "host", "segs", "n", "labelled", "good", F.when(F.col("child").isNull(), F.col("purity")).otherwise(purity(F.col("purity"))).alias("purity"), F.coalesce("child", "template").alias("template")
-        )
-        after = cut(after, "tree")
-        forget(tree)
-        tree = after
-    return tree.select("host", "segs", "template", "purity", F.when(F.col("purity") < PURITY, "block").otherwise("allow").alias("method"))
+        tree = cut(moved.withColumn("seg", seg).join(step, ["host", "template", "seg"], "left").select(
+            "host", "segs", "n", "labelled", "good", F.when(F.col("child").isNull(), F.col("purity")).otherwise(purity(F.col("purity"))).alias("purity"), F.coalesce("child", "template").alias("template"),
+            (F.col("at") + F.col("child").isNotNull().cast("int")).alias("at"),
+        ), "tree")
+        forget(moved)
+        settled.append(tree.where(F.size("segs") <= F.col("at")))
+    return reduce(DataFrame.union, settled).select("host", "segs", "template", "purity", F.when(F.col("purity") < PURITY, "block").otherwise("allow").alias("method"))
 
 
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
@@ -101,8 +114,8 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES) -> DataFrame:
     own = own.select("page_id", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     own = own.withColumn("segs", segments(F.col("path")))
     doc = F.regexp_extract("path", r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
-    good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
-    marked = own.select("host", "segs", F.when(doc != "", doc.cast("long")).alias("doc")).join(good, "doc", "left")
+    good = labels.where("doc_id >= 0 and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc")).agg(F.min(((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")).alias("good"))
+    marked = own.select("host", "segs", F.when(doc != "", doc.cast("long")).otherwise(-1 - F.pmod(F.xxhash64("host", "path"), F.lit(1 << 40))).alias("doc")).join(good, "doc", "left")  # pages without a number are spread
     typed = cut(marked.groupBy("host", "segs").agg(F.count("*").alias("n"), F.count("good").alias("labelled"), F.coalesce(F.sum("good"), F.lit(0)).alias("good")), "typed")
     judged = cut(templates(typed), "templates")
     forget(typed)
