@@ -1,9 +1,10 @@
-"""License scan: an exact set-similarity join of text blocks (lines) with license templates.
+"""License scan: an exact set-similarity join of text blocks with license templates.
 
-A block B meets a template T when |T & B| >= CONTAINMENT * |T|, on word sets. Tokens are ordered by their frequency over
-the whole corpus, rarest first. With o = ceil(CONTAINMENT * |T|), a block that meets T has one of the first |T| - o + 1
-tokens of T (prefix filter), has at least o known tokens (length filter), and from a first common token at places p in T and
-q in B still has min(|T| - p, |B| - q) >= o tokens to match (positional filter). What is left is counted exactly.
+A block of a template T is a run of words of the whole text, whatever its line breaks: it starts at a word of T and has as many words as T and a quarter more (two at
+least). A block B meets T when |T & B| >= CONTAINMENT * |T|, on word sets, B has the words that name the license, and none that name another one. Tokens are ordered by
+their frequency over the whole corpus, rarest first. With o = ceil(CONTAINMENT * |T|), a text that has a block for T has one of the first |T| - o + 1 tokens of T (prefix
+filter) and at least o distinct tokens of T (length filter); a block from the i-th place of T's tokens in the text on needs o places to be left (positional
+filter). What is left is counted exactly, by one sweep over those places.
 
 The templates are fixed and few, so their index is shipped with the task; blocks are never shuffled. The corpus frequencies
 of the templates' tokens come from one pass that sends a row for each token and partition at most.
@@ -16,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from dataclasses import dataclass
 from functools import partial
 
@@ -30,59 +32,104 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 CONTAINMENT = 0.8
 #: Base phrases and their labels.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
-#: Standard notices of public licenses, and the labels that this scan adds.
+#: Standard notices of public licenses: the label that this scan adds, the text, words that must stand in the block, words that must not.
 TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit-notice", "Released under the MIT License"),
-    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License"),
-    ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-    ("all-rights-reserved", "Copyright all rights reserved"),
-)
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", "apache", ""),
+    ("mit-text", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction, "
+     "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software", "permission", ""),
+    ("mit-notice", "Released under the MIT License", "mit", ""),
+    ("gpl-notice", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License", "gnu", ""),
+    ("gpl-notice", "This work is licensed under the GNU General Public License", "gnu general", ""),
+    ("bsd-text", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", "redistribution", ""),
+    ("bsd-notice", "Released under the BSD License", "bsd", ""),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", "creative commons", "noncommercial sharealike noderivatives"),
+    ("cc-by-4.0", "Licensed under CC BY 4.0", "cc by", "nc sa nd"),
+    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", "cc nc", "sa nd"),
+    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", "cc sa", "nc nd"),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "mozilla", ""),
+    ("isc-text", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted", "permission fee", ""),
+    ("unlicense", "This is free and unencumbered software released into the public domain", "unencumbered", ""),
+    ("all-rights-reserved", "Copyright all rights reserved", "copyright reserved", ""),
+)
 
 
 def words(text: str) -> list[str]:
     return WORDS.findall(text.translate(_LOWER))
 
 
+def block_words(text: str) -> int:
+    """Words of a block for a template of this text."""
+    n = len(words(text))
+    return n + max(2, n // 4)
+
+
+@dataclass(frozen=True)
+class Template:
+    label: str
+    tokens: tuple[str, ...]  # distinct, in the global order
+    need: int
+    size: int  # words of a block
+    must: frozenset[str]
+    without: frozenset[str]
+
+    @property
+    def prefix(self) -> tuple[str, ...]:
+        return self.tokens[: len(self.tokens) - self.need + 1]
+
+
 @dataclass(frozen=True)
 class Index:
-    order: dict[str, int]  # token -> place in the global order, rarest first
-    templates: tuple[tuple[str, tuple[str, ...], int], ...]  # label, tokens in that order, needed overlap
-    prefixes: dict[str, tuple[tuple[int, int], ...]]  # token -> (template, place) where it is in a prefix
-
-    def search(self, block: list[str]) -> list[tuple[int, float]]:
-        """(template, containment) of every template that the block meets."""
-        known = set(block) & self.order.keys()
-        tokens = sorted(known, key=self.order.__getitem__)
-        seen: dict[int, bool] = {}
-        for q, t in enumerate(tokens):
-            for k, p in self.prefixes.get(t, ()):
-                if k not in seen:  # the first common token: all earlier ones of T are not in B
-                    _, mine, need = self.templates[k]
-                    seen[k] = len(tokens) >= need and min(len(mine) - p, len(tokens) - q) >= need
+    templates: tuple[Template, ...]
+    vocabulary: frozenset[str]
+    prefixes: frozenset[str]
+
+    def search(self, found: list[str]) -> list[tuple[int, int, int, float]]:
+        """(template, first word, word after the last, containment) of the blocks of a whole text's words that meet a template; overlapping ones of a template are one, with the best containment."""
+        if self.prefixes.isdisjoint(found):
+            return []
+        at: dict[str, list[int]] = {}
+        for i, w in enumerate(found):
+            if w in self.vocabulary:
+                at.setdefault(w, []).append(i)
         out = []
-        for k, ok in seen.items():
-            if ok and (n := len(known.intersection(self.templates[k][1]))) >= self.templates[k][2]:
-                out.append((k, n / len(self.templates[k][1])))
+        for k, t in enumerate(self.templates):
+            if any(x in at for x in t.prefix) and sum(x in at for x in t.tokens) >= t.need and all(x in at for x in t.must):
+                out += [(k, *x) for x in _sweep(t, at)]
         return out
 
 
+def _sweep(t: Template, at: dict[str, list[int]]) -> list[tuple[int, int, float]]:
+    places = sorted((i, x) for x in t.tokens if x in at for i in at[x])
+    other = sorted(i for x in t.without if x in at for i in at[x])
+    inside: dict[str, int] = {}
+    out: list[list] = []
+    stop = 0
+    for k, (start, first) in enumerate(places):
+        if len(places) - k < t.need:
+            break
+        while stop < len(places) and places[stop][0] < start + t.size:
+            inside[places[stop][1]] = inside.get(places[stop][1], 0) + 1
+            stop += 1
+        if len(inside) >= t.need and all(x in inside for x in t.must):
+            o = bisect_left(other, start)
+            if o == len(other) or other[o] >= start + t.size:
+                share, end = len(inside) / len(t.tokens), places[stop - 1][0] + 1
+                if out and start < out[-1][1]:
+                    out[-1][1:] = [end, max(share, out[-1][2])]
+                else:
+                    out.append([start, end, share])
+        inside[first] -= 1
+        if not inside[first]:
+            del inside[first]
+    return [tuple(x) for x in out]
+
+
 def index(frequency: dict[str, int], templates=TEMPLATES, containment: float = CONTAINMENT) -> Index:
-    vocabulary = {w for _, t in templates for w in words(t)}
-    order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
-    rows, prefixes = [], {}
-    for k, (label, t) in enumerate(templates):
-        tokens = tuple(sorted(set(words(t)), key=order.__getitem__))
-        need = math.ceil(containment * len(tokens) - 1e-9)
-        rows.append((label, tokens, need))
-        for p, w in enumerate(tokens[: len(tokens) - need + 1]):
-            prefixes.setdefault(w, []).append((k, p))
-    return Index(order, tuple(rows), {w: tuple(x) for w, x in prefixes.items()})
+    rows = []
+    for label, text, must, without in templates:
+        tokens = tuple(sorted(set(words(text)), key=lambda w: (frequency.get(w, 0), w)))
+        rows.append(Template(label, tokens, math.ceil(containment * len(tokens) - 1e-9), block_words(text), frozenset(must.split()), frozenset(without.split())))
+    return Index(tuple(rows), frozenset(w for t in rows for w in (*t.tokens, *t.without)), frozenset(w for t in rows for w in t.prefix))
 
 
 def _frequencies(batches, vocabulary):
@@ -98,7 +145,7 @@ def _frequencies(batches, vocabulary):
 
 def corpus_index(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> Index:
     """The index under the token frequencies (documents that have the token) of the whole corpus."""
-    vocabulary = frozenset(w for _, t in templates for w in words(t))
+    vocabulary = frozenset(w for _, t, *_ in templates for w in words(t))
     counts = arrow_map(texts(docs).select("text"), partial(_frequencies, vocabulary=vocabulary), "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()  # a row for each template token
     return index({r.word: r.n for r in counts}, templates, containment)
 
@@ -117,25 +164,19 @@ def places(found: list[str]) -> list[tuple[int, str]]:
 
 
 def _scan(batches, idx):
-    keys = idx.prefixes.keys()
     for b in batches:
         rows = []
         for text in b["text"].to_pylist():
             found = words(text)
-            base = places(found)
-            matches = []
-            if not keys.isdisjoint(found):
-                start = 0
-                for line in text.split("\n"):
-                    block = words(line)
-                    if block and not keys.isdisjoint(block):
-                        matches += [(idx.templates[k][0], start, start + len(line), c) for k, c in idx.search(block)]
-                    start += len(line) + 1
+            base, met = places(found), idx.search(found)
+            if met:
+                spans = [m.span() for m in WORDS.finditer(text.translate(_LOWER))]
+                met = [(idx.templates[k].label, spans[first][0], spans[last - 1][1], c) for k, first, last, c in met]
             starts = [s for s, _ in base]
             base_labels = sorted({x for _, x in base})
             rows.append((
-                len(found), len(base), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(sorted({*base_labels, *(m[0] for m in matches)})),
-                max([float(bool(base)), *(m[3] for m in matches)]), [dict(zip(("label", "start", "end", "containment"), m)) for m in matches],
+                len(found), len(base), min(starts, default=None), max(starts, default=None), ",".join(base_labels), ",".join(sorted({*base_labels, *(m[0] for m in met)})),
+                max([float(bool(base)), *(m[3] for m in met)]), [dict(zip(("label", "start", "end", "containment"), m)) for m in met],
             ))
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), BLOCKS)
         yield pa.RecordBatch.from_arrays([b["doc_id"], *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "blocks"])

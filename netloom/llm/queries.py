@@ -66,6 +66,7 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_url_filter, op3_substring_dedup, op4_quality, op5_decontamination, op6_packing, op7_licenses, op8_pii, op9_exact_dedup, op10_near_dedup, pipeline)}
 
 
+_TEMPLATES = ", ".join(f"({k}, '{t.label}', {t.size}, {t.need}, '{row[1]}', '{row[2]}', '{row[3]}')" for k, (t, row) in enumerate(zip(licenses.index({}).templates, licenses.TEMPLATES)))
 OP7 = f"""
 with d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
 w as (select doc_id, t, regexp_extract_all(t, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as w from d),
@@ -73,9 +74,14 @@ base as (
   select doc_id, i, case when w[i+1] = 'mit' then 'mit' else 'apache' end as label from (select doc_id, w, unnest(range(len(w) - 1)) as i from w where len(w) > 1) where w[i+1] in ('mit', 'apache') and w[i+2] = 'license'
   union all
   select doc_id, i, 'gpl' from (select doc_id, w, unnest(range(len(w) - 2)) as i from w where len(w) > 2) where w[i+1] = 'general' and w[i+2] = 'public' and w[i+3] = 'license'),
-templates as (select label, list_distinct(regexp_extract_all(lower(t), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as tw from (values {", ".join(f"('{a}', '{b}')" for a, b in licenses.TEMPLATES)}) v(label, t)),
-blocks as (select doc_id, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as bw from d),
-met as (select doc_id, label, max(len(list_intersect(tw, bw))::double / len(tw)) as c from blocks, templates where 10 * len(list_intersect(tw, bw)) >= 8 * len(tw) group by all),
+templates as (select k, label, size, need, tw, string_split(must, ' ') as must, string_split(without, ' ') as without from (values {_TEMPLATES}) v(k, label, size, need, t, must, without), lateral (select list_distinct(regexp_extract_all(lower(t), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')) as tw)),
+tok as (select doc_id, unnest(range(len(w))) as i, unnest(w) as x from w),
+hit as (select k, doc_id, i, x from tok join (select k, unnest(tw) as x from templates) using (x)),
+other as (select k, doc_id, i from tok join (select k, unnest(without) as x from templates) using (x)),
+near as (select hit.* from hit join (select k, doc_id from hit join templates using (k) group by k, doc_id, need having count(distinct x) >= need) using (k, doc_id)),
+block as (select k, near.doc_id, near.i, size, need, any_value(len(tw)) as n, count(distinct q.x) as c from near join templates using (k) join near q using (k, doc_id) where q.i >= near.i and q.i < near.i + size group by k, near.doc_id, near.i, size, need, must
+  having count(distinct q.x) >= need and count(distinct case when list_contains(must, q.x) then q.x end) = len(must)),
+met as (select block.doc_id, label, max(block.c::double / n) as c from block join templates using (k) where not exists (select 1 from other o where o.k = block.k and o.doc_id = block.doc_id and o.i >= block.i and o.i < block.i + block.size) group by block.doc_id, label),
 b as (select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_sort(list_distinct(list(label))) as l from base group by doc_id),
 m as (select doc_id, list(label) as l, max(c) as c from met group by doc_id)
 select w.doc_id, len(w.w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
