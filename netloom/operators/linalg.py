@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.frames import LOCAL_CELLS, Network
+from ..sources.frames import LOCAL_CELLS, Network, from_dense
 from ..sources.scratch import settle
 
 
@@ -19,7 +19,7 @@ def signed(u: np.ndarray) -> np.ndarray:
 
 
 def leading(net: Network, rounds: int = 100, tolerance: float = 1e-12) -> tuple[DataFrame, DataFrame, float]:
-    """Leading singular triple: (i, u), (j, v), s. Small networks by a dense SVD, larger ones by power iteration, two join-aggregates a round."""
+    """Leading singular triple: (i, u), (j, v), s; the entry of u of greatest magnitude is positive. Small networks by a dense SVD, larger ones by power iteration, two join-aggregates a round; it raises where that does not settle."""
     spark = net.edges.sparkSession
     if net.n_rows * net.n_cols <= LOCAL_CELLS // 4:
         w, ri, ci = net.dense()
@@ -39,6 +39,11 @@ def leading(net: Network, rounds: int = 100, tolerance: float = 1e-12) -> tuple[
         if abs(s - last) <= tolerance * max(1.0, s):
             break
         last = s
+    else:
+        raise RuntimeError(f"power iteration did not settle in {rounds} rounds")
+    top = u.orderBy(F.desc(F.abs("u")), "i").first()
+    if top is not None and top.u < 0:
+        u, v = u.select("i", (-F.col("u")).alias("u")), v.select("j", (-F.col("v")).alias("v"))
     return u, v, s
 
 
@@ -74,6 +79,12 @@ def eigen(w: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return d[at], signed(u[:, at])
 
 
+def shrinkage(net: Network) -> Network:
+    """The symmetric network with a shrunk spectrum, every cell written out; it needs its matrix on one machine and raises above the local limit."""
+    w, ri, _ = net.checked(symmetric=True).dense()
+    return from_dense(net.edges.sparkSession, shrink(w), ri, ri, keep_zeros=True)
+
+
 def shrink(w: np.ndarray) -> np.ndarray:
     """Symmetric matrix with its spectrum replaced by a cubic in the rank, fitted without the leading eigenvalues before the knee."""
     if not np.allclose(w, w.T):

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,8 @@ def from_dense(spark: SparkSession, w: np.ndarray, rows=None, cols=None, keep_ze
     """A network of a small matrix; absent cells are zero."""
     rows, cols = (np.arange(n) if x is None else x for n, x in zip(w.shape, (rows, cols)))
     r, c = np.indices(w.shape) if keep_zeros else np.nonzero(w)
-    edges = spark.createDataFrame([(int(rows[a]), int(cols[b]), float(w[a, b])) for a, b in zip(np.ravel(r), np.ravel(c))], "i long, j long, w double")
+    r, c = np.ravel(r), np.ravel(c)
+    edges = spark.createDataFrame(pa.table({"i": pa.array(np.asarray(rows)[r], pa.int64()), "j": pa.array(np.asarray(cols)[c], pa.int64()), "w": pa.array(w[r, c].astype(float))}))
     node = lambda x, name: spark.createDataFrame([(int(v),) for v in x], f"{name} long")
     return Network(edges, node(rows, "i"), node(cols, "j"), len(rows), len(cols))
 

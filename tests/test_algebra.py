@@ -68,7 +68,7 @@ def test_gradient_and_single_module_cost():
             d = np.zeros_like(u)
             d[i, c] = 1e-6
             assert np.isclose((p.cost(u + d)[0] - p.cost(u - d)[0]) / 2e-6, g[i, c], atol=1e-4)
-        for f in (embedding.adam(p, u, 50, 0.05, 1e-9), embedding.conjugate(p, u, 50, 1e-9)):
+        for f in (embedding.adam(p, u, 50, 0.05, 1e-9), embedding.trust_regions(p, u, 50, 1e-9)):
             assert min(f[1]) <= f[1][0] and np.allclose(np.linalg.norm(f[0], axis=1), 1)
 
 
@@ -138,3 +138,55 @@ def test_streaming_degrees(spark, tmp_path):
     q = stream.degrees(spark.readStream.schema("i long, j long, w double").parquet(str(tmp_path / "e"))).writeStream.format("memory").queryName("deg").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.i, r.first, r.n) for r in spark.sql("select * from deg").collect()} == {(1, 7.0, 2), (2, 1.0, 1)}
+
+
+def test_one_module_cost_is_the_cost_over_all_pairs():
+    a = np.triu((rng.random((14, 14)) > 0.5).astype(float), 1)
+    a = a + a.T
+    u = embedding._unit(rng.normal(size=(14, 3)))
+    for alpha, beta, gamma in ((1.0, 1.0, 1.0), (2.0, 0.7, 1.3)):
+        want = 0.0
+        for i in range(14):
+            for j in range(14):
+                d2 = ((u[i] - u[j]) ** 2).sum()
+                want -= (a[i, j] - gamma * a[i].sum() * a[j].sum() / a.sum()) / (1 + alpha * d2**beta)
+        assert np.isclose(embedding.Problem(a, np.zeros(14, int), alpha, beta, gamma).cost(u)[0], want)
+
+
+def test_solvers_reach_a_stationary_point():
+    a = np.kron(np.eye(2), np.ones((6, 6))) - np.eye(12)
+    p = embedding.Problem(a, np.zeros(12, int), 1.0, 1.0, 1.0)
+    u = embedding._unit(np.random.default_rng(4).normal(size=(12, 3)))
+    for v, history in (embedding.trust_regions(p, u, 500, 1e-9), embedding.adam(p, u, 5000, 0.05, 1e-12)):
+        assert np.abs(embedding.tangent(v, p.cost(v)[1])).max() < 1e-2 * np.abs(embedding.tangent(u, p.cost(u)[1])).max() and history[-1] < history[0]
+
+
+def test_orders_of_the_greedy_start():
+    w = np.array([[0, 5, 1.0], [5, 0, 2], [1, 2, 0]])
+    assert embedding.module_order(w) == [1, 2, 0]
+    assert sorted(embedding.spread(sphere.fibonacci_array(9))) == list(range(9))
+
+
+def test_meridians_against_all_pairs(spark):
+    x = rng.normal(size=(200, 3))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    pts = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], "i long, x double, y double, z double")
+    t = -np.pi + 2 * np.pi * np.arange(144) / 144
+    line = np.stack([np.cos(t)[:, None] + 0 * x[:, 2], np.sin(t)[:, None] + 0 * x[:, 2], 0 * t[:, None] + x[:, 2]], 2)
+    line /= np.linalg.norm(line, axis=2, keepdims=True)
+    want = ((line * x).sum(2) > np.cos(sphere.NEAR * np.pi / 144)).sum(1)
+    assert (sphere.meridian_counts(pts) == want).all()
+    assert sphere.middle_of_longest_gap(np.array([0, 1, 0, 0, 0, 1, 0], bool)) == 3 and sphere.middle_of_longest_gap(np.array([0, 0, 1, 1, 0, 0, 0], bool)) == 6
+    turned, r = sphere.rotation(pts)
+    got = turned.orderBy("i").toPandas()[["x", "y", "z"]].to_numpy()
+    assert np.allclose(r @ r.T, np.eye(3)) and np.allclose(got, x @ r)
+
+
+def test_power_iteration_agrees_with_the_dense_form(spark, monkeypatch):
+    net = from_dense(spark, rng.random((8, 6)))
+    u, v, s = linalg.leading(net)
+    monkeypatch.setattr(linalg, "LOCAL_CELLS", 4)
+    u2, v2, s2 = linalg.leading(net)
+    assert np.isclose(s, s2) and all(np.allclose(a.orderBy(a.columns[0]).toPandas().iloc[:, 1], b.orderBy(b.columns[0]).toPandas().iloc[:, 1], atol=1e-5) for a, b in ((u, u2), (v, v2)))
+    with pytest.raises(RuntimeError):
+        linalg.leading(net, rounds=1)
