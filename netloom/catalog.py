@@ -20,15 +20,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf: str, both: bool = False) -> Network:
-    """Trade in cents. Dimension tables are joined by key; lineitem is reduced to nations before anything else shuffles."""
+    """Trade in cents. Line items are summed by order and supplier nation before they meet the orders; orders know their customer's nation by then."""
     l, o, c, s = (table(spark, sf, t) for t in ("lineitem", "orders", "customer", "supplier"))
-    e = (
-        l.select("l_orderkey", "l_suppkey", "l_extendedprice")
+    lines = (
+        l.select("l_orderkey", "l_suppkey", F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
         .join(s.select("s_suppkey", F.col("s_nationkey").alias("j")), l.l_suppkey == s.s_suppkey)
-        .join(o.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(c.select("c_custkey", F.col("c_nationkey").alias("i")), F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy("i", "j").agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).cast("double").alias("w"))
+        .groupBy("l_orderkey", "j").agg(F.sum("cents").alias("cents"))
     )
+    orders = o.select("o_orderkey", "o_custkey").join(c.select("c_custkey", F.col("c_nationkey").alias("i")), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "i")
+    e = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("i", "j").agg(F.sum("cents").cast("double").alias("w"))
     if both:
         e = e.union(e.select(F.col("j").alias("i"), F.col("i").alias("j"), "w"))
     nodes = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("i"))
@@ -92,9 +92,25 @@ def g2_degree_second(spark, sf):
     return moments.degree(trade(spark, sf), "second").select("i", _r("value", 4, 1e12))
 
 
-@query()
+def _power(source: str) -> str:
+    """The leading singular triple of a matrix of nations, by 400 rounds of power iteration on lists: u and v by row number from 1, and s."""
+    dot = "list_transform({m}, lambda r: list_dot_product(r, {v}))"
+    both = dot.format(m="t", v=dot.format(m="a", v="v"))
+    return f""", grid as (select x.i, y.i as j, coalesce(w, 0) as w from nodes x cross join nodes y left join {source} e on e.i = x.i and e.j = y.i),
+mats as (select (select list(r order by i) from (select i, list(w order by j) as r from grid group by i)) as a, (select list(r order by j) from (select j, list(w order by i) as r from grid group by j)) as t),
+power as (select 0 as it, list_transform(range(25), lambda x: 1.0::double) as v union all
+  select it + 1, list_transform(z, lambda x: x / sqrt(list_dot_product(z, z))) from (select it, {both} as z from power, mats where it < 400)),
+top as (select v, {dot.format(m="a", v="v")} as au from power, mats where it = 400),
+triple as (select sqrt(list_dot_product(au, au)) as s, list_transform(au, lambda x: x / sqrt(list_dot_product(au, au))) as u, v from top),
+place as (select i, row_number() over (order by i) as pos from nodes)"""
+
+
+_RECURSIVE = _CENTS.replace("trade as", "recursive trade as", 1)
+
+
+@query(f"with {_RECURSIVE}{_power('trade')} select nodes.i, round((coalesce(sum(w), 0) - max(u[pos] * s * list_sum(v))) / 1e8, 4) + 0.0 as value from nodes join place using (i) cross join triple left join trade on nodes.i = trade.i group by nodes.i")
 def g3_degree_residual(spark, sf):
-    return moments.degree(trade(spark, sf), "residual")
+    return moments.degree(trade(spark, sf), "residual").select("i", _r("value", 4, 1e8))
 
 
 @query(f"with {_CENTS} select nodes.i, round((sum(w*w) / max(n) - pow(sum(w) / max(n), 2)) / pow(sum(w) / max(n), 2), 8) + 0.0 as value from nodes cross join nn left join trade on nodes.i = trade.i group by nodes.i")
@@ -136,9 +152,9 @@ def r4_residual_global_ctr(spark, sf):
     return _long(moments.residual_rows(emb(spark, sf), "global_ctr"))
 
 
-@query()
+@query(f"with {_RECURSIVE}{_power('trade')} select grid.i, grid.j, round((w - s * u[p.pos] * v[q.pos]) / 1e8, 4) + 0.0 as w from grid join place p on p.i = grid.i join place q on q.i = grid.j cross join triple")
 def r5_residual_rankone(spark, sf):
-    return moments.residual(trade(spark, sf), "rankone")
+    return moments.residual(trade(spark, sf), "rankone").select("i", "j", _r("w", 4, 1e8))
 
 
 @query(f"with {_CENTS}, a as (select i, j from (select i, j, row_number() over (partition by i order by w desc, j) as r from trade where i <> j) where r <= 5) select distinct i, j, 1::bigint as c from (select i, j from a union all select j, i from a)")
@@ -291,23 +307,26 @@ def q1_residual_correlation(spark, sf):
     return a.join(b, ["i", "j"]).where("i <> j").agg(F.corr("x", "y").alias("r")).select(_r("r", 8))
 
 
-@query()
+@query(f"with {_RECURSIVE}{_power('sym')}, d as (select nodes.i, coalesce(sum(w), 0) as d from nodes left join sym on nodes.i = sym.i group by nodes.i) select round(corr(d, u[pos]), 8) + 0.0 as r from d join place using (i) cross join triple")
 def q8_degree_and_eigenvector(spark, sf):
     net = trade(spark, sf, True)
-    return moments.degree(net).join(linalg.leading(net)[0], "i").agg(F.corr("value", "u").alias("r"))
+    return moments.degree(net).join(linalg.leading(net)[0], "i").agg(F.corr("value", "u").alias("r")).select(_r("r", 8))
 
 
-@query()
+@query(f"""{_nearest(False)}, c as (select p.i, q.i as j, count(*)::double as w from a p join a q on p.j = q.j group by p.i, q.i), n as (select count(*)::double as n from e), sizes as (select m, count(*)::double as size from e group by m),
+cv as (select e.i, (sum(w * w) / max(n) - pow(sum(w) / max(n), 2)) / pow(sum(w) / max(n), 2) as cv2 from e cross join n left join c on c.i = e.i group by e.i),
+x as (select c.i, e.m, sum(w) / max(size) as x from c join e on c.j = e.i join sizes on sizes.m = e.m group by c.i, e.m)
+select cv.i, round(any_value(cv2), 8) + 0.0 as cv2, round(1 - sum(x * x) / pow(sum(x), 2), 8) + 0.0 as participation from cv left join x on x.i = cv.i group by cv.i""")
 def q10_dispersion_of_common_neighbours(spark, sf):
     rows = emb(spark, sf)
     net = Network.of(neighbors.kneighbor(rows, "common", 10, "cosim").select("i", "j", F.col("c").cast("double").alias("w")), rows.select("i"))
-    return moments.dispersion(net).withColumnRenamed("value", "cv2").join(moments.dispersion(net, "kpartcoef", labels(spark, sf)).withColumnRenamed("value", "participation"), "i")
+    got = moments.dispersion(net).withColumnRenamed("value", "cv2").join(moments.dispersion(net, "kpartcoef", labels(spark, sf)).withColumnRenamed("value", "participation"), "i")
+    return got.select("i", _r("cv2", 8), _r("participation", 8))
 
 
 @query()
 def k_shrinkage(spark, sf):
-    w, ri, _ = trade(spark, sf, True).dense()
-    return from_dense(spark, linalg.shrink(w), ri, ri, keep_zeros=True).edges
+    return linalg.shrinkage(trade(spark, sf, True)).edges
 
 
 @query()
@@ -365,6 +384,76 @@ def m_modularity(spark, sf):
     return _with_q(clustering.modularity(trade(spark, sf, True), replicates=4, finaltune=True))
 
 
+def region_trade(spark: SparkSession, sf: str, both: bool = False) -> Network:
+    """Trade between the five regions: small enough for SQL to try every partition."""
+    r = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("n"), F.col("n_regionkey").cast("long").alias("r"))
+    e = trade(spark, sf, both).edges
+    e = e.join(F.broadcast(r.toDF("i", "ri")), "i").join(F.broadcast(r.toDF("j", "rj")), "j")  # 25 nations
+    return Network.of(e.select(F.col("ri").alias("i"), F.col("rj").alias("j"), "w"), r.select(F.col("r").alias("i")).distinct())
+
+
+def _first(p: DataFrame, key: str = "m") -> DataFrame:
+    """Labels as the least node of the module: (i, m)."""
+    from pyspark.sql import Window as W
+
+    return p.withColumn("m", F.min("i").over(W.partitionBy(key)).cast("int"))
+
+
+_REGIONS = f"""with {_CENTS}, net as (select a.m::bigint as i, b.m::bigint as j, sum(w) as w from {{edges}} e join nodes a on e.i = a.i join nodes b on e.j = b.i group by all),
+node as (select distinct m::bigint as i from nodes), t as (select sum(w) as t from net)"""
+
+
+def _best_partition(objective_value: str, labels: int, all_used: bool) -> str:
+    """SQL that tries every labelling of the regions and returns the best one."""
+    return f"""{_REGIONS.format(edges="sym")}, p as (select b, i, (b // pow({labels}, i)::int) % {labels} as m from range({labels ** 5}) r(b), node),
+size as (select b, m, count(*)::double as n from p group by b, m), used as (select b from size group by b having count(*) {"=" if all_used else "<="} {labels}),
+deg as (select b, m, sum(w) as d from p join net using (i) group by b, m), inside as (select x.b, x.m, sum(w) as c from p x join net on net.i = x.i join p y on y.b = x.b and y.i = net.j and y.m = x.m group by x.b, x.m),
+q as (select size.b, {objective_value} as q from size join used using (b) join deg using (b, m) left join inside using (b, m) cross join t group by size.b),
+best as (select b, q from q order by round(q, 9) desc, b limit 1)
+select p.i, (min(p.i) over (partition by p.m))::int as m, round(q, 8) + 0.0 as q from best join p using (b)"""
+
+
+_C = "coalesce(c, 0)"
+_RCTR = f"({_C} - 2 * n * d / 5 + n * n * t / 25)"
+for _objective, _value in (
+    ("kmeans", f"sum({_C} / n) / 1e12"), ("kmodularity", f"sum(5.0 / 2 * ({_C} - d * d / t) / n / t)"), ("kmodularity_ctr", f"sum(5.0 / 2 * {_RCTR} / n / t)"), ("modularity", f"sum(({_C} - d * d / t) / t)"),
+    ("modularity_ctr", f"sum({_RCTR} / t)"), ("spectral", f"sum({_C} / d)"),
+):
+    def _regions_loyvain(spark, sf, objective=_objective):
+        p, q = clustering.loyvain(region_trade(spark, sf, True), 2, objective)
+        return _first(p).withColumn("q", F.lit(round(float(q) / (1e12 if objective == "kmeans" else 1), 8) + 0.0))
+
+    _regions_loyvain.__name__ = f"loyvain_regions_{_objective}"
+    query(_best_partition(_value, 2, not _objective.startswith("modularity")))(_regions_loyvain)
+
+
+@query(_best_partition(f"sum(({_C} - d * d / t) / t)", 5, False))
+def m_modularity_regions(spark, sf):
+    p, q = clustering.modularity(region_trade(spark, sf, True), finaltune=True)
+    return _first(p).withColumn("q", F.lit(round(float(q), 8) + 0.0))
+
+
+def _best_pair(value: str) -> str:
+    """SQL that tries every pair of labellings of the regions as customers and as suppliers."""
+    return f"""{_REGIONS.format(edges="trade")}, p as (select b, i, (b >> i::int) & 1 as m from range(1, 31) r(b), node),
+ends as (select b, m, count(*)::double as n, sum(so) as dx, sum(si) as dy from p join (select i, sum(w) as so from net group by i) using (i) join (select j as i, sum(w) as si from net group by j) using (i) group by b, m),
+block as (select x.b as bx, y.b as b, x.m, sum(w) as c from p x join net on net.i = x.i join p y on y.i = net.j and y.m = x.m group by x.b, y.b, x.m),
+q as (select bx, block.b, {value} as q from block join ends x on x.b = bx and x.m = block.m join ends y on y.b = block.b and y.m = block.m cross join t group by bx, block.b),
+best as (select bx, b, q from q order by round(q, 9) desc, bx, b limit 1), name as (select p.m, min(p.i)::int as first from best join p on p.b = bx group by p.m)
+select 'x' as side, p.i, first as m, round(q, 8) + 0.0 as q from best join p on p.b = bx join name using (m) union all select 'y', p.i, first, round(q, 8) + 0.0 from best join p on p.b = best.b join name using (m)"""
+
+
+for _objective, _value in (("kmeans", "sum(c / sqrt(x.n * y.n)) / 1e12"), ("kmodularity", "sum(5.0 / 2 / t * (c - x.dx * y.dy / t) / sqrt(x.n * y.n))")):  # for spectral the local search does not reach the best pair, see README
+    def _regions_coloyvain(spark, sf, objective=_objective):
+        x, y, q, _ = clustering.coloyvain(region_trade(spark, sf), 2, objective, start="random", replicates=60)
+        both = x.withColumn("side", F.lit("x")).union(y.withColumn("side", F.lit("y")))
+        name = x.groupBy("m").agg(F.min("i").cast("int").alias("first"))
+        return both.join(name, "m").select("side", "i", F.col("first").alias("m"), F.lit(round(float(q) / (1e12 if objective == "kmeans" else 1), 8) + 0.0).alias("q"))
+
+    _regions_coloyvain.__name__ = f"coloyvain_regions_{_objective}"
+    query(_best_pair(_value))(_regions_coloyvain)
+
+
 def _add_canoncov(kind: str, corr: bool) -> None:
     def f(spark, sf):
         _, _, scores, r = canonical.canoncov(halves(spark, sf), 3, kind, resid=False, corr=corr, **({"replicates": 2} if kind == "binary" else {}))
