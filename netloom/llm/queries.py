@@ -93,7 +93,19 @@ OP9 = r"""
 with d as (select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as t from documents)
 select doc_id, min(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = min(doc_id) over w as kept, sha256(t) as text_sha256 from d window w as (partition by t)
 """
+OP10 = r"""
+with recursive d as (select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+w as (select doc_id, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from d),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) end as s from w),
+e as (select doc_id, hash(x) as x from (select doc_id, unnest(s) as x from s)),
+pairs as (select a.doc_id as a, b.doc_id as b, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by all),
+links as (select a, b from pairs join s p on p.doc_id = a join s q on q.doc_id = b where 100 * c >= 75 * (len(p.s) + len(q.s) - c)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select doc_id as id, doc_id as c from s union select b, c from reach join edges on a = id),
+comp as (select id, min(c) as c from reach group by id)
+select doc_id, len(s)::bigint as n_shingles, c as component_id, doc_id = c as kept from s join comp on id = doc_id
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_licenses": OP7, "op9_exact_dedup": OP9}
+    return {"op7_licenses": OP7, "op9_exact_dedup": OP9, "op10_near_dedup": OP10}
