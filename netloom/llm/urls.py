@@ -73,15 +73,16 @@ def templates(typed: DataFrame) -> DataFrame:
     tree = cut(typed.join(tops, "host").select("host", "segs", "n", "labelled", "good", "purity", F.lit("").alias("template"), F.lit(0).alias("at")), "tree")
     settled = [tree.where(F.size("segs") <= F.col("at"))]
     while not (rows := tree.where(F.size("segs") > F.col("at"))).isEmpty():
-        # the segments that all paths of a node share: those of its least and greatest path
-        nodes = rows.groupBy("host", "template").agg(F.min("segs").alias("lo"), F.max("segs").alias("hi"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
+        # the next segments that all paths of a node share (before them, merged paths may differ): those of its least and greatest rest
+        rest = F.slice("segs", F.col("at") + 1, F.size("segs"))
+        nodes = rows.groupBy("host", "template").agg(F.min(rest).alias("lo"), F.max(rest).alias("hi"), F.sum("labelled").alias("l"), F.sum("good").alias("g"))
         parting = F.array_position(F.zip_with("lo", "hi", lambda x, y: F.coalesce(x == y, F.lit(False))), F.lit(False)).cast("int")
-        nodes = nodes.select("host", "template", F.when(parting == 0, F.size("lo")).otherwise(parting - 1).alias("to"), "l", "g")
-        own, steps = F.col("g") / F.col("l"), F.col("to") - F.col("at")
+        nodes = nodes.select("host", "template", F.when(parting == 0, F.size("lo")).otherwise(parting - 1).alias("steps"), "l", "g")
+        own, steps = F.col("g") / F.col("l"), F.col("steps")
         moved = rows.join(nodes, ["host", "template"]).select(
             "host", "segs", "n", "labelled", "good",
             F.when(F.col("l") > 0, own + (F.col("purity") - own) * F.pow(STRENGTH / (F.col("l") + STRENGTH), steps)).otherwise(F.col("purity")).alias("purity"),  # `steps` levels with the same counts
-            F.concat("template", F.when(steps > 0, F.concat(F.lit("/"), F.array_join(F.slice("segs", F.col("at") + 1, steps), "/"))).otherwise("")).alias("template"), F.col("to").alias("at"),
+            F.concat("template", F.when(steps > 0, F.concat(F.lit("/"), F.array_join(F.slice("segs", F.col("at") + 1, steps), "/"))).otherwise("")).alias("template"), (F.col("at") + steps).alias("at"),
         )
         moved = cut(moved, "moved")
         seg = F.get("segs", F.col("at"))

@@ -340,6 +340,8 @@ def test_url_tree_has_no_greatest_depth_and_takes_odd_tables(spark):
     assert len(got) == len(pages) and {g.verdict for g in got if g.page_id in range(1, 200, 2)} == {"block"} and {g.verdict for g in got if g.page_id in range(0, 200, 2)} == {"allow"}
     assert [g.template for g in got if g.page_id == 900] == ["/\\~/\\{n}/\\*"] * 2 or all("{n}" not in g.template.split("/") for g in got if g.page_id == 900)
     assert urls.judge(df.where("false"), labels).collect() == []
+    merged = spark.createDataFrame([(i, f"http://m/{'ab'[i % 2]}/x/{'cd'[i // 2 % 2]}/{i}") for i in range(40)], "page_id long, url string")  # siblings that do not differ are one node
+    assert {g.template for g in urls.judge(merged, labels.where("false")).collect()} == {"/~/x/~/{n}"}
 
 
 def test_url_purity_matches_one_page_at_a_time(spark):
