@@ -22,7 +22,8 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.removals(_read(spark, sf_dir, "documents")).drop("component")
+    """Repeats across documents."""
+    return substring_dedup.removals(_read(spark, sf_dir, "documents"), within=False).drop("component")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

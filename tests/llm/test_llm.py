@@ -134,6 +134,12 @@ def test_substring_dedup_finds_passages_inside_and_across_lines(spark):
     docs = spark.createDataFrame([(1, " ".join(period * 40))], "doc_id long, text string")
     got = substring_dedup.removals(docs).collect()
     assert got and all(g.start > 0 and g.doc_id == g.keep_doc_id for g in got)
+    # across documents only: own repeats stay, and so does a shared run too short to hold a unit
+    short = own(substring_dedup.UNIT - 1)
+    texts = [" ".join(period * 40), " ".join(own(90) + short + own(90)), " ".join(own(70) + short + own(100)), " ".join(own(60) + passage), " ".join(passage + own(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = substring_dedup.removals(docs, within=False).collect()
+    assert {(g.doc_id, g.keep_doc_id) for g in got} == {(4, 3)}
 
 
 def test_wand_returns_all_above_threshold():
