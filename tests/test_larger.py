@@ -26,3 +26,27 @@ def test_coloyvain_of_few_nodes_is_the_best_pair(spark, objective):
     every = [np.array([b >> i & 1 for i in range(5)]) for b in range(1, 31)]
     best = max(pair_value(w, a, b, objective) for a in every for b in every)
     assert np.isclose(q, best, rtol=1e-9) and np.isclose(pair_value(w, mx, my, objective), best, rtol=1e-9) and np.isclose(value.sum(), q)
+
+
+def frame(spark, x):
+    return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, x array<double>")
+
+
+def labels_of(p):
+    return np.array([r.m for r in p.orderBy("i").collect()])
+
+
+@pytest.mark.parametrize("objective", ["kmeans", "kmodularity", "modularity", "spectral"])
+def test_rows_over_the_local_matrix(spark, monkeypatch, objective):
+    x = np.random.default_rng(2).normal(size=(60, 5)) + (4 if objective == "spectral" else 0)
+    want, q = clustering.loyvain(frame(spark, x), 3, objective, "cosim", replicates=2)
+    monkeypatch.setattr(clustering, "LOCAL_CELLS", 60 * 5)  # the rows fit, their 60 x 60 products do not
+    got, r = clustering.loyvain(frame(spark, x), 3, objective, "cosim", replicates=2)
+    assert np.isclose(q, r) and (labels_of(want) == labels_of(got)).all()
+
+
+def test_rows_over_the_local_limit_are_distributed(spark, monkeypatch):
+    x = np.repeat(np.eye(3), 20, 0) + 0.1 * np.random.default_rng(3).normal(size=(60, 3))
+    monkeypatch.setattr(clustering, "LOCAL_CELLS", 100)
+    m = labels_of(clustering.loyvain(frame(spark, x), 3, "kmeans", "cosim", numbatches=2, replicates=2)[0]).reshape(3, 20)
+    assert len(set(m[:, 0])) == 3 and (m == m[:, :1]).all()
