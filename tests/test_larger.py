@@ -3,8 +3,9 @@
 import numpy as np
 import pytest
 
-from netloom.operators import clustering
-from netloom.sources.frames import from_dense
+from netloom.operators import clustering, linalg, neighbors
+from netloom.sources import frames
+from netloom.sources.frames import Sparse, from_dense
 
 
 def pair_value(w, x, y, objective):
@@ -50,3 +51,40 @@ def test_rows_over_the_local_limit_are_distributed(spark, monkeypatch):
     monkeypatch.setattr(clustering, "LOCAL_CELLS", 100)
     m = labels_of(clustering.loyvain(frame(spark, x), 3, "kmeans", "cosim", numbatches=2, replicates=2)[0]).reshape(3, 20)
     assert len(set(m[:, 0])) == 3 and (m == m[:, :1]).all()
+
+
+def sparse_network(n, seed=4):
+    rng = np.random.default_rng(seed)
+    w = np.triu(rng.integers(1, 4, (n, n)) * (rng.random((n, n)) < 0.3), 1).astype(float)
+    w[: n // 2, : n // 2] *= 3
+    return w + w.T + np.diag(rng.integers(0, 3, n))
+
+
+def test_top_of_a_block_with_ties():
+    rng = np.random.default_rng(5)
+    w = rng.integers(0, 6, (40, 300)) / 5.0
+    w[3], w[4, 7:] = 1.0, -np.inf
+    r, j, v = neighbors._top(w, np.arange(300), 5)
+    for i in range(40):
+        want = [c for c in np.argsort(-w[i], kind="stable")[:5] if w[i, c] > -np.inf]
+        assert j[r == i].tolist() == want and (v[r == i] == w[i, want]).all()
+
+
+def test_sparse_eigenvectors():
+    w = sparse_network(150)
+    d, u = linalg.eigen_sparse(Sparse.dense(w), 4)
+    e, z = linalg.eigen(w, 4)
+    assert np.allclose(d, e) and np.allclose(u, z, atol=1e-7)
+    twice = np.kron(np.eye(2), w)  # every eigenvalue twice
+    d, u = linalg.eigen_sparse(Sparse.dense(twice), 4)
+    assert np.allclose(d, np.repeat(e[:2], 2)) and np.allclose(twice @ u, u * d, atol=1e-6) and np.allclose(u.T @ u, np.eye(4))
+
+
+def test_neighbour_components_over_the_local_matrix(spark, monkeypatch):
+    rows = frame(spark, np.random.default_rng(6).normal(size=(120, 8)))
+    get = lambda: neighbors.components(rows, 3, neighbours=5, similarity="cosim").orderBy("i", "comp").toPandas()
+    want = get()
+    monkeypatch.setattr(neighbors, "LOCAL_CELLS", 1000)
+    monkeypatch.setattr(frames, "EDGES_AT_ONCE", 300)
+    got = get()
+    assert (got[["i", "comp"]] == want[["i", "comp"]]).all(None) and np.allclose(got.value, want.value, atol=1e-7)
