@@ -88,3 +88,20 @@ def test_neighbour_components_over_the_local_matrix(spark, monkeypatch):
     monkeypatch.setattr(frames, "EDGES_AT_ONCE", 300)
     got = get()
     assert (got[["i", "comp"]] == want[["i", "comp"]]).all(None) and np.allclose(got.value, want.value, atol=1e-7)
+
+
+@pytest.mark.parametrize("objective", ["kmeans", "kmodularity", "kmodularity_ctr", "modularity", "modularity_ctr", "spectral"])
+def test_networks_over_the_local_matrix(spark, monkeypatch, objective):
+    net = from_dense(spark, sparse_network(40))
+    want, q = clustering.loyvain(net, 3, objective, replicates=2)
+    monkeypatch.setattr(clustering, "LOCAL_CELLS", 1000)
+    got, r = clustering.loyvain(net, 3, objective, replicates=2)
+    assert np.isclose(q, r) and (labels_of(want) == labels_of(got)).all()
+
+
+def test_binary_neighbour_components_over_the_local_matrix(spark, monkeypatch):
+    rows = frame(spark, np.random.default_rng(7).normal(size=(100, 6)))
+    get = lambda: labels_of(neighbors.components(rows, 4, "binary", neighbours=5, similarity="cosim", replicates=2))
+    want = get()
+    monkeypatch.setattr(clustering, "LOCAL_CELLS", 1000)
+    assert (get() == want).all()
