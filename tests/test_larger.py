@@ -105,3 +105,20 @@ def test_binary_neighbour_components_over_the_local_matrix(spark, monkeypatch):
     want = get()
     monkeypatch.setattr(clustering, "LOCAL_CELLS", 1000)
     assert (get() == want).all()
+
+
+def test_index_has_every_row_and_meets_all_cells_it_probes(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(90, 6))
+    x[5] = x[6] = x[7]
+    rows = frame(spark, x)
+    want = {(r.i, r.j, r.w) for r in neighbors.nearest_rows(rows, 4, "cosim").collect()}
+    for block in (8_000_000, 200):
+        monkeypatch.setattr(neighbors, "BLOCK_CELLS", block)
+        assert {(r.i, r.j, r.w) for r in neighbors.approximate_rows(rows, 4, cells=5, probes=5, sample=40).collect()} == want
+        assert len({r.i for r in neighbors.approximate_rows(rows, 4, cells=5, probes=1).select("i").collect()}) == 90
+
+
+def test_indirect_neighbours_do_not_list_pairs(spark):
+    # pairs of rows that share a bucket went through a join and an aggregate; now each row's neighbours leave its task
+    plan = neighbors.approximate_rows(frame(spark, np.random.default_rng(9).normal(size=(50, 4))), 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan
