@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from netloom.operators import clustering, linalg, neighbors
+from netloom.operators import clustering, embedding, linalg, neighbors
 from netloom.sources import frames
 from netloom.sources.frames import Sparse, from_dense
 
@@ -122,3 +122,33 @@ def test_indirect_neighbours_do_not_list_pairs(spark):
     # pairs of rows that share a bucket went through a join and an aggregate; now each row's neighbours leave its task
     plan = neighbors.approximate_rows(frame(spark, np.random.default_rng(9).normal(size=(50, 4))), 3)._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "Aggregate" not in plan
+
+
+def test_mumap_and_modularity_need_no_matrix(spark, monkeypatch):
+    rows = frame(spark, np.random.default_rng(10).normal(size=(90, 6)))
+    get = lambda: embedding.mumap(rows, kappa=6, maxiter=20, learnrate=0.05, replicates=2)
+    place = lambda u: np.array([r.u for r in u.orderBy("i").collect()])
+    want = get()
+    for module in (embedding, clustering, neighbors, frames):
+        monkeypatch.setattr(module, "LOCAL_CELLS", 90 * 90 - 1, raising=False)
+    monkeypatch.setattr(frames.Network.dense, "__defaults__", (90 * 90 - 1,))
+    monkeypatch.setattr(embedding, "PAIRS_AT_ONCE", 100)
+    got = get()
+    assert np.allclose(place(want[0]), place(got[0])) and (labels_of(want[1]) == labels_of(got[1])).all()
+    assert place(got[0]).shape == (90, 3) and got[2].count() == want[2].count()
+
+
+def test_sparse_louvain_ends_where_no_node_gains():
+    for seed in range(5):
+        w = sparse_network(50, seed)
+        m = clustering.louvain_labels(w, 1.0, np.random.default_rng(seed))
+        for _ in range(20):  # moves of merged nodes can open new ones of single nodes
+            last, m = m, clustering.louvain_labels(w, 1.0, np.random.default_rng(seed), m)
+            if (last == m).all():
+                break
+        k = int(m.max()) + 2  # and an empty module
+        b = w - np.outer(w.sum(1), w.sum(1)) / w.sum()
+        s = b @ np.eye(k)[m]
+        gain = s - (s[np.arange(50), m] - np.diag(b))[:, None]
+        gain[np.arange(50), m] = 0
+        assert gain.max() / w.sum() < 1e-9 and len(set(m.tolist())) == k - 1 > 1
