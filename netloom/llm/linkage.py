@@ -35,6 +35,7 @@ FAN = 16
 BLOCK = 1024
 #: Most candidate pairs that are broadcast (16 bytes each); beyond it the join shuffles.
 BROADCAST_PAIRS = 500_000
+SETS = "id long, set binary"
 
 
 def _similar(batches, percent):
@@ -99,10 +100,13 @@ def _elements(batches):
         yield pa.RecordBatch.from_pydict({"id": join(ids), "n": join(n), "e": join(e)})
 
 
-def _full_join(apart: DataFrame, members: DataFrame, sets: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
-    """(a, b) with b in apart(b, c_b) and a in members(id, c), of different components, that the three filters do not rule out."""
+def _full_join(apart: DataFrame, members: DataFrame, sets: Callable[..., DataFrame], percent: int) -> DataFrame:
+    """(a, b) with b in apart(b, c_b) and a in members(id, c), of different components, that the three filters do not rule out.
+
+    sets takes a function of its batches and their schema, so that one Python worker makes the elements.
+    """
     ids = cut(members.select("id").distinct(), "ids")
-    elements = cut(arrow_map(sets(ids), _elements, "id long, n long, e long"), "elements")
+    elements = cut(sets(ids, _elements, "id long, n long, e long"), "elements")
     often = elements.groupBy("e").agg(F.count("*").alias("f")).where("f > 1")
     mine = elements.join(often, "e").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "e"))).alias("x"))
     once = F.col("n") - F.size("x")  # elements that no other member has stand first
@@ -120,7 +124,7 @@ def _full_join(apart: DataFrame, members: DataFrame, sets: Callable[[DataFrame],
     return out
 
 
-def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[[DataFrame], DataFrame], percent: int = shingles.PERCENT, fan: int = FAN) -> DataFrame:
+def link(posts: DataFrame, sigs: DataFrame | None, least: int, sets: Callable[..., DataFrame], percent: int = shingles.PERCENT, fan: int = FAN) -> DataFrame:
     """(id, component) of every item with a link. posts: (token, id, weight), a table; sigs: (id, sig), a table, or none."""
     lists = posts.groupBy("token").agg(F.count("*").alias("size"), F.max(F.struct("weight", (-F.col("id")).alias("back"))).alias("top")).where("size > 1")
     lists = cut(lists.select("token", "size", (-F.col("top.back")).alias("pivot")), "lists")

@@ -23,9 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_map, cut, forget, only, sized, texts, without
+from .common import arrow_map, chain, cut, forget, only, sized, texts, without
 from .components import components
-from .linkage import link
+from .linkage import SETS, link
 
 COORDINATES, MATCHES = 64, 33
 
@@ -67,7 +67,7 @@ def _decide(docs: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     rows = cut(arrow_map(own, _signatures, "doc_id long, n_shingles long, key binary, sig array<int>"), "signatures")
     classes = cut(rows.where("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")), "classes")
     posted = cut(posts(classes), "postings")
-    sets = lambda ids: arrow_map(only(own, ids.select(F.col("id").alias("doc_id"))), _sets, "id long, set binary")
+    sets = lambda ids, then=None, schema=SETS: arrow_map(only(own, ids.select(F.col("id").alias("doc_id"))), chain(_sets, then), schema)
     comp = link(posted, classes.select("id", "sig"), MATCHES, sets)
     of = classes.select("key", "id").join(comp, "id", "left").select("key", F.coalesce("component", "id").alias("class"))
     out = rows.select("doc_id", "n_shingles", "key").join(of, "key", "left")

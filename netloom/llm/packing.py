@@ -19,6 +19,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,7 +93,9 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = TOKEN_BUDGET) ->
     for key in sorted(counts):
         start[key] = total[key[0]]
         total[key[0]] += counts[key]
-    first = rows.sparkSession.createDataFrame([(b, s, n) for (b, s), n in start.items()], "bucket int, slot int, first long")
+    b, s, n = zip(*((*key, at) for key, at in start.items()))
+    # an Arrow table becomes a local relation; a list would go through an RDD, with Python workers of another daemon on each executor
+    first = rows.sparkSession.createDataFrame(pa.table({"bucket": pa.array(b, pa.int32()), "slot": pa.array(s, pa.int32()), "first": pa.array(n, pa.int64())}))
     one = F.row_number().over(W.partitionBy("bucket", "slot").orderBy("length", "doc_id", "h"))
     placed = rows.withColumn("at", one - 1).join(F.broadcast(first), ["bucket", "slot"]).withColumn("at", F.col("at") + F.col("first"))
     boundary = F.get(edges, F.col("bucket")).cast("long")

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shingles
-from .common import arrow_map, cut, forget, sized, texts
-from .linkage import link
+from .common import arrow_map, chain, cut, forget, sized, texts
+from .linkage import SETS, link
 
 MIN_WORDS, COORDINATES, RECALL = 20, 64, 0.995
 #: Words of a unit, a multiple of a shingle's, and how many adjacent shingles have an anchor. A longer unit leaves more short repeats alone, a shorter window makes more units.
@@ -226,9 +226,9 @@ def removals(docs: DataFrame, within: bool = True) -> DataFrame:
     central = tokens.join(often, "token").groupBy("id").agg(F.sum("n").alias("weight"), F.collect_list("token").alias("tokens"))
     posted = cut(central.select(F.explode("tokens").alias("token"), "id", "weight"), "postings")
 
-    def sets(ids: DataFrame) -> DataFrame:
+    def sets(ids: DataFrame, then=None, schema: str = SETS) -> DataFrame:
         want = cut(classes.join(ids, "id", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), "id")).alias("want")), "want")
-        return arrow_map(own.join(sized(want, BROADCAST_DOCS), "doc_id").select("text", "want"), _sets, "id long, set binary")
+        return arrow_map(own.join(sized(want, BROADCAST_DOCS), "doc_id").select("text", "want"), chain(_sets, then), schema)
 
     comp = link(posted, None, 1, sets)
     forget(posted)

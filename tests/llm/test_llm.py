@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from netloom.llm import components, decontaminate, exact_dedup, isotonic, licenses, near_dedup, packing, pii, quality, shingles, substring_dedup, toxicity, urls
+from netloom.llm import components, decontaminate, exact_dedup, isotonic, licenses, linkage, near_dedup, packing, pii, quality, shingles, substring_dedup, toxicity, urls
 
 LONG = " ".join(f"word{i}" for i in range(60))
 ODD = [(1, None), (2, ""), (3, "one two"), (4, LONG), (5, LONG + "  "), (5, LONG + "  "), (None, LONG), (6, "x" * 50_000), (7, "ab\n" * 3000), (8, LONG.replace("word7 ", "other "))]
@@ -192,6 +192,24 @@ def test_packing_is_optimal_and_whole(spark):
     assert sorted(p.doc_id) == list(range(2000)) and (p.length <= p.boundary).all() and (g.n * g.b <= 500).all() and (g["last"] == g.n - 1).all()
 
 
+def test_packing_starts_no_python_workers(spark):
+    docs = spark.range(50).selectExpr("id as doc_id", "repeat('x', cast(id % 40 as int)) as text")
+    assert "ExistingRDD" not in packing.pack(docs)._jdf.queryExecution().toString()  # an RDD of a list is made by Python workers
+
+
+def test_exact_join_needs_one_python_worker_a_task(spark, monkeypatch):
+    base = [f"w{i}" for i in range(80)]
+    docs = spark.createDataFrame([(k, " ".join(base[:40] + [f"x{k}"] * (k > 0) + base[40:])) for k in range(4)], "doc_id long, text string")
+    got, plans, cut = {}, [], linkage.cut
+    monkeypatch.setattr(near_dedup, "link", lambda *a: got.update(sets=a[3]) or linkage.link(*a))
+    near_dedup.decide(docs).collect()
+    monkeypatch.setattr(linkage, "cut", lambda df, name: plans.append((name, df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow"))) or cut(df, name))
+    members = spark.range(4).selectExpr("id", "id as c")
+    pairs = linkage._full_join(members.selectExpr("id as b", "c as c_b"), members, got["sets"], 75)
+    assert {(r.a, r.b) for r in pairs.collect()} == set(itertools.combinations(range(4), 2))
+    assert dict(plans)["elements"] == 1 and max(n for _, n in plans) == 1
+
+
 def test_license_join_matches_brute_force():
     idx = licenses.index({"the": 1000, "license": 5, "of": 900})
     r = np.random.default_rng(4)
